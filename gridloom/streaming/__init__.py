@@ -1,0 +1 @@
+"""Reserved: every input of this engine is a bounded file, so there is no stream operator."""
