@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut_lineage
 from .nearest import nearest_boxes
 from .skew import first_per_key, require_none, with_group_totals
 from .tiling import BOX, overlap_pairs
@@ -113,11 +114,13 @@ def attach_uncovered(
     levels = list(levels)
     if not levels:
         return crosswalk
-    lonely = (
+    lonely = cut_lineage(
         cells.where(F.col("spatial_level").isin(levels))
         .join(crosswalk.select("spatial_uid").distinct(), "spatial_uid", "left_anti")
         .join(weight.where("weight > 0").select("spatial_uid"), "spatial_uid", "left_semi")
     )
+    if lonely.isEmpty():
+        return crosswalk
     near = nearest_boxes(
         lonely.select(F.col("spatial_uid").alias("lid"), *BOX), source_boxes.select(F.col("uid").alias("rid"), *BOX)
     )
@@ -223,7 +226,8 @@ def map_series_to_cells(
     """
     if (quantity, method) not in {("extensive", "linear"), ("extensive", "auxiliary"), ("intensive", "linear")}:
         raise ValueError("Supported: extensive/linear, extensive/auxiliary, intensive/linear.")
-    pairs = crosswalk if crosswalk is not None else box_crosswalk(source_boxes, cells, tile)
+    # Overlay and weights feed several steps, so each is computed once and kept as a checkpoint table.
+    pairs = cut_lineage(crosswalk if crosswalk is not None else box_crosswalk(source_boxes, cells, tile))
     if method == "auxiliary":
         if auxiliary is None:
             raise ValueError("Auxiliary downscaling needs auxiliary cell values.")
@@ -233,6 +237,7 @@ def map_series_to_cells(
         weights = weights_extensive_linear(pairs)
     else:
         weights = weights_intensive_linear(pairs)
+    weights = cut_lineage(weights)
     if quantity == "extensive":
         require_conservative(weights, source_boxes, tolerance)
     mapped = apply_weights(series, weights, value)

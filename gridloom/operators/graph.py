@@ -177,8 +177,8 @@ def spread_from_seeds(seeds: DataFrame, incidence: DataFrame) -> DataFrame:
         reached = cut_lineage(reached.union(frontier))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int | None = None) -> DataFrame:
-    """Shortest path by total length between two nodes: one row (length, nodes, edges), or none.
+def path_lengths(edges: DataFrame, start: str, max_hops: int | None = None) -> DataFrame:
+    """Shortest path from one node to every reachable node: node, total, nodes, uids.
 
     edges: uid, a, b, length (undirected, parallel edges allowed). Bellman-Ford rounds: each keeps
     the best path per node with map-side combine and stops when nothing improves.
@@ -188,8 +188,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int | None
     )
     hop = best_parallel.select("a", "b", "e.length", "e.uid")
     hop = cut_lineage(hop.union(hop.select("b", "a", "length", "uid")))
-    spark = edges.sparkSession
-    best = spark.createDataFrame(
+    best = edges.sparkSession.createDataFrame(
         [(start, 0.0, [start], [])], "node string, total double, nodes array<string>, uids array<string>"
     )
     frontier, rounds = best, 0
@@ -211,6 +210,12 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int | None
         best = cut_lineage(
             best.union(frontier).groupBy("node").agg(F.min(F.struct("total", "nodes", "uids")).alias("p")).select("node", "p.*")
         )
+    return best
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int | None = None) -> DataFrame:
+    """Shortest path between two nodes: one row (length, nodes, uids), or none."""
+    best = path_lengths(edges, start, max_hops)
     return best.where(F.col("node") == goal).select(F.col("total").alias("length"), "nodes", "uids")
 
 

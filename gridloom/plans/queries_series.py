@@ -56,7 +56,7 @@ def parameter_groups(t):
 @query(
     "osm_voltages",
     """SELECT uid, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(
-              regexp_extract_all(coalesce(voltage, ''), '\\d+(?:\\.\\d+)?'), x -> CAST(x AS DOUBLE)), x -> x >= 1000), x -> CAST(x / 1000 AS INT)))), ';'), '') AS levels,
+              regexp_extract_all(coalesce(voltage, ''), '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE)), lambda x: x >= 1000), lambda x: CAST(x / 1000 AS INT)))), ';'), '') AS levels,
               CASE WHEN voltage LIKE '%kV%' OR voltage IS NULL THEN 0 ELSE len(string_split(voltage, ';')) END AS plain
        FROM v_line""",
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -196,6 +197,22 @@ def with_views(body: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+def _cells(t: "Tables") -> DataFrame:
+    from ..operators.cells import box_cells
+
+    return box_cells(t.v_admin, 15.0, (0.0, 0.0)).drop("source_cell_uid")
+
+
+def _weights(t: "Tables") -> DataFrame:
+    empty = (F.col("spatial_level") == "marine_zone") & (F.col("x0") + F.col("y0") > 90)
+    scaled = F.col("area") * (1 + (F.col("x0") + F.col("y0")).cast("int") % 3)
+    return t.v_cell.select("spatial_uid", F.when(empty, 0.0).otherwise(scaled).alias("weight"))
+
+
+# Views that Spark builds with the engine's own operators instead of the inequality joins of the text.
+SPARK_VIEWS = {"v_cell": _cells, "v_weight": _weights}
+
+
 class Tables:
     """The given tables and the derived views of one data folder."""
 
@@ -205,6 +222,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in SPARK_VIEWS:
+            return SPARK_VIEWS[name](self)
         if name in VIEWS:
             return self.view(name)
         raise AttributeError(name)
