@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..session import cut_lineage
 
 FAN = 8
 LEAF = 16
@@ -39,6 +40,7 @@ def nearest_objects(
     distance(): expression over the payload columns.
     covers(cell_x0, cell_y0, size): whether the object really touches a cell of its box.
     """
+    right = cut_lineage(right)  # read once per level below
     stats = right.agg(
         F.min("r_x0"), F.min("r_y0"), F.max("r_x1"), F.max("r_y1"), F.count("*")
     ).first()

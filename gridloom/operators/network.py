@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-
-
+from ..session import cut_lineage
 from .graph import connected_components, degrees, endpoints, spread_from_seeds
 from .mapping import nearest_polygons
 from .nearest import nearest_points, nearest_segments
@@ -279,18 +278,18 @@ def build_branches(
     node. Returns branches and the endpoint table (uid, kind, node) behind them.
     """
     opt = {**DEFAULTS, **options}
-    refs = refs.join(systems.select("uid").distinct(), "uid", "left_semi")
-    ends = line_ends(refs)
-    refs = refs.join(ends.select("uid", "first_pos", "last_pos"), "uid")
+    systems = cut_lineage(systems)
     levels = systems.select("uid", "voltage_kv")
-    full = refs.join(levels, "uid")
+    ends = line_ends(refs).select("uid", "first_pos", "last_pos")
+    # Incidence and marks are read by several later steps; each is computed once.
+    full = cut_lineage(refs.join(ends, "uid").join(levels, "uid"))
     shared = shared_nodes(full.select("uid", "node", "voltage_kv").distinct()).withColumn("is_shared", F.lit(True))
     is_end = (F.col("pos") == F.col("first_pos")) | (F.col("pos") == F.col("last_pos"))
     terminals = full.where(is_end).select("node", "voltage_kv").distinct().join(nodes, "node")
     reps = cluster_terminals(terminals, float(opt["line_endpoint_tolerance_m"]))
     candidates = candidate_nodes(full, shared, transformers)
     at_station = station_nodes(candidates, nodes, stations, float(opt["station_tolerance_m"]))
-    marked = (
+    marked = cut_lineage(
         full.join(shared, ["node", "voltage_kv"], "left").join(at_station, "node", "left").join(transformers, "node", "left")
         .withColumn("is_split", is_end | F.coalesce("is_shared", F.lit(False)) | F.col("station_uid").isNotNull() | F.col("transformer_uid").isNotNull())
     )

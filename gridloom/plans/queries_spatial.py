@@ -107,9 +107,9 @@ def map_load_to_cells(t):
             b AS (SELECT uid, x - 5 AS x0, y - 4.5E0 AS y0, x + 5 AS x1, y + 4.5E0 AS y1 FROM g),
             x AS (SELECT b.uid, c.spatial_uid, (least(b.x1, c.x1) - greatest(b.x0, c.x0)) * (least(b.y1, c.y1) - greatest(b.y0, c.y0)) AS o FROM b JOIN v_cell c ON least(b.x1, c.x1) > greatest(b.x0, c.x0) AND least(b.y1, c.y1) > greatest(b.y0, c.y0)),
             w AS (SELECT uid, spatial_uid, o / sum(o) OVER (PARTITION BY spatial_uid) AS weight FROM x),
-            s AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, concat('p:', CAST(user_id % 38 AS VARCHAR(10))) AS uid, event_type AS class, avg(value) / 100 AS v FROM events GROUP BY 1, 2, 3),
+            s AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, concat('p:', CAST(user_id % 38 AS VARCHAR(10))) AS uid, event_type AS class, avg(value) / 97 AS v FROM events GROUP BY 1, 2, 3),
             axis AS (SELECT DISTINCT time FROM s), cls AS (SELECT DISTINCT class FROM s)
-       SELECT CAST(s.time AS VARCHAR) AS time, w.spatial_uid, s.class, round(sum(s.v * w.weight), 9) AS v FROM s JOIN w ON w.uid = s.uid GROUP BY 1, 2, 3
+       SELECT CAST(s.time AS VARCHAR) AS time, w.spatial_uid, s.class, round(sum(s.v * w.weight), 6) AS v FROM s JOIN w ON w.uid = s.uid GROUP BY 1, 2, 3
        UNION ALL SELECT CAST(axis.time AS VARCHAR), c.spatial_uid, cls.class, NULL FROM (SELECT spatial_uid FROM v_cell WHERE spatial_uid NOT IN (SELECT spatial_uid FROM x)) c, axis, cls""",
 )
 def map_resource_to_cells(t):
@@ -121,8 +121,8 @@ def map_resource_to_cells(t):
     s = t.events.groupBy(
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time"), F.concat(F.lit("p:"), (F.col("user_id") % 38).cast("string")).alias("uid"),
         F.col("event_type").alias("class"),
-    ).agg((F.avg("value") / 100).alias("v"))
-    return rounded(crosswalk.map_series_to_cells(s, support, t.v_cell, value="v", tile=TILE, step=timedelta(days=1), quantity="intensive", method="linear"), 9)
+    ).agg((F.avg("value") / 97).alias("v"))
+    return rounded(crosswalk.map_series_to_cells(s, support, t.v_cell, value="v", tile=TILE, step=timedelta(days=1), quantity="intensive", method="linear"))
 
 
 @query(
