@@ -168,7 +168,7 @@ VIEWS: dict[str, str] = {
     "v_resource": """
         SELECT CAST(date_trunc('day', ts) AS {ntz}) AS time, concat('cell:', CAST(user_id % 20 AS VARCHAR(10))) AS uid,
                CASE event_type WHEN 'view' THEN 'onshore' WHEN 'click' THEN 'utility_scale_pv' ELSE 'run_of_river' END AS class,
-               least(avg(value) / 100, 1.0E0) AS availability_pu
+               least(avg(value) / 97, 1.0E0) AS availability_pu
         FROM events GROUP BY 1, 2, 3""",
 }
 
