@@ -191,7 +191,7 @@ def fill_cells(
     cell and keeping the timestamps that the mapped series has.
     """
     ends = mapped.agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.collect_set("class").alias("classes")).first()
-    names = cells.select("spatial_uid").distinct()
+    names, axis = cells.select("spatial_uid").distinct(), mapped.select("time").distinct()
     if auxiliary is not None:
         zero = auxiliary.where("weight <= 0").select("spatial_uid")
         mapped = mapped.join(zero, "spatial_uid", "left_anti")
@@ -204,7 +204,7 @@ def fill_cells(
         )
     filled = (
         empty.select("spatial_uid", "__fill", _axis(ends["lo"], ends["hi"], step).alias("time"))
-        .join(mapped.select("time").distinct(), "time", "left_semi")
+        .join(axis, "time", "left_semi")
         .select(
             "time", "spatial_uid",
             F.explode(F.array(*[F.lit(c) for c in sorted(ends["classes"])])).alias("class"),
