@@ -311,7 +311,7 @@ def build_branches(
         "from_kind": _end_kind(F.col("station_uid"), F.col("transformer_uid")),
         "to_kind": _end_kind(F.col("to.station_uid"), F.col("to.transformer_uid")),
     }).where("from_uid <> to_uid")
-    ok = named.join(shape, [*keys, "start_pos"])
+    ok = cut_lineage(named.join(shape, [*keys, "start_pos"]))
     uid = F.concat(F.col("uid"), F.lit(":voltage:"), label, F.lit(":node:"), F.col("from_node").cast("string"), F.lit(":node:"), F.col("to_node").cast("string"))
     attrs = [c for c in systems.columns if c not in ("uid", "voltage_kv")]
     branches = ok.join(systems, keys).select(
@@ -321,7 +321,7 @@ def build_branches(
         F.struct(F.col("from_uid").alias("uid"), F.col("from_kind").alias("kind"), F.col("from_rep").alias("node")),
         F.struct(F.col("to_uid").alias("uid"), F.col("to_kind").alias("kind"), F.col("to_rep").alias("node")),
     )).alias("e")).select("e.*").distinct()
-    return branches, first_per_key(junctions, ["uid"], [F.col("node")])
+    return cut_lineage(branches), cut_lineage(first_per_key(junctions, ["uid"], [F.col("node")]))
 
 
 def candidate_nodes(full: DataFrame, shared: DataFrame, transformers: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def build_nodes(
 ) -> DataFrame:
     """Facility and junction nodes with levels from tags and incident branches, gaps filled."""
     opt = {**DEFAULTS, **options}
-    touch = incident(branches)
+    touch = cut_lineage(incident(branches))
     junction = (
         ends.where("kind = 'junction'").join(touch, "uid").join(nodes, "node").select(
             "uid", F.lit("junction").alias("class"),
@@ -436,12 +436,11 @@ def build_nodes(
         facilities.where("subclass = 'transformer'").join(ends.select("uid"), "uid", "left_semi").select(facilities.columns)
     )
     both = used.unionByName(junction)
-    out = augment_voltages(both, touch)
-    out = fill_nearest_voltage(out, opt)
+    out = fill_nearest_voltage(cut_lineage(augment_voltages(both, touch)), opt)
     low = F.col("node_classification_method") == "inferred_voltage_threshold"
-    return out.withColumn(
+    return cut_lineage(out.withColumn(
         "subclass", F.when(low, voltage_class(F.col("voltage_kv"), float(opt["transmission_voltage_threshold_kv"]))).otherwise(F.col("subclass"))
-    )
+    ))
 
 
 def augment_voltages(nodes: DataFrame, touch: DataFrame) -> DataFrame:
@@ -469,7 +468,7 @@ def fill_nearest_voltage(nodes: DataFrame, options: Mapping[str, float] = DEFAUL
     )
     chosen = near.groupBy("lid").agg(F.min("rid").alias("ref")).withColumnRenamed("lid", "uid")
     values = nodes.select(F.col("uid").alias("ref"), F.col("voltage_kv").alias("ref_values"))
-    out = nodes.join(chosen.join(values, "ref"), "uid", "left")
+    out = cut_lineage(nodes.join(chosen.join(values, "ref"), "uid", "left"))
     hit = F.col("ref_values").isNotNull()
     out = out.withColumns({
         "voltage_assignment_method": F.when(hit, "inferred_nearest_node").otherwise(F.col("voltage_assignment_method")),
@@ -495,7 +494,7 @@ def deduplicate_nodes(nodes: DataFrame, branches: DataFrame) -> tuple[DataFrame,
     g = groups.select(*[F.col(k).alias("g_" + k) for k in keys], "__rep", "__size")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col("g_" + k))
-    tagged = d.join(g, on).drop(*["g_" + k for k in keys])
+    tagged = cut_lineage(d.join(g, on).drop(*["g_" + k for k in keys]))
     merged = tagged.where("__size > 1")
     names = merged.select("__rep", F.explode(F.concat(F.array("uid"), F.coalesce(F.split("merged_source_uids", ";"), F.array().cast("array<string>")))).alias("u")).distinct()
     text = names.groupBy("__rep").agg(F.array_join(F.array_sort(F.collect_list("u")), ";").alias("__m"))
@@ -506,7 +505,7 @@ def deduplicate_nodes(nodes: DataFrame, branches: DataFrame) -> tuple[DataFrame,
     out = branches
     for c in ("from_uid", "to_uid"):
         out = out.join(moves, F.col(c) == F.col("__old"), "left").withColumn(c, F.coalesce("__new", c)).drop("__old", "__new")
-    return kept, out.where("from_uid <> to_uid").select(branches.columns)
+    return kept, cut_lineage(out.where("from_uid <> to_uid").select(branches.columns))
 
 
 def node_issues(nodes: DataFrame, branches: DataFrame) -> DataFrame:
@@ -587,8 +586,8 @@ def infer_equipment(bus: DataFrame) -> DataFrame:
 
 
 def build_electrical_network(nodes: DataFrame, branches: DataFrame) -> dict[str, DataFrame]:
-    bus = expand_buses(nodes, branches)
-    equipment = infer_equipment(bus)
+    bus = cut_lineage(expand_buses(nodes, branches))
+    equipment = cut_lineage(infer_equipment(bus))
     return {
         "bus": bus, "branch": connect_branches(branches),
         "transformer": equipment.where("class = 'transformer'").drop("from_current_type", "to_current_type"),
