@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import with_share
+from .skew import with_listed, with_share
 
 METHODS = {"bus": "bus_uid", "cell": "spatial_uid"}
 
@@ -52,7 +52,7 @@ def membership(data: DataFrame, *, dataset_id: str, method: str) -> DataFrame:
 def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sources: bool = True) -> DataFrame:
     """Assets of one bus or cell, class and subclass as one row; other columns from the first uid.
 
-    `source_uid` lists the members (each also is a membership row); switch it off for huge groups.
+    `source_uid` lists the members (see `with_listed`); each also is a membership row.
     """
     if method == "none":
         return data
@@ -64,11 +64,12 @@ def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sour
         F.min_by(F.struct(*other), "uid").alias("__first"),
         F.coalesce(F.sum(cap), F.lit(0.0)).alias(cap), F.count("*").alias("source_count"),
     ]
-    if list_sources:
-        aggs.append(F.array_join(F.array_sort(F.collect_set("uid")), ";").alias("source_uid"))
     if dataset_id == "storage":
         aggs.append(F.sum("energy_capacity_mwh").alias("energy_capacity_mwh"))
     out = base.groupBy("__a").agg(*aggs)
+    if list_sources:
+        members = base.select("__a", F.col("uid").alias("source_uid"))
+        out = with_listed(out, members, ["__a"], ["source_uid"])
     columns = [F.col("__a").alias("uid"), *[F.col("__first")[c].alias(c) for c in other], cap]
     if dataset_id == "storage":
         columns += ["energy_capacity_mwh", F.try_divide("energy_capacity_mwh", cap).alias("duration_h")]
@@ -89,12 +90,13 @@ def aggregate_parameters(
     m = members.select(F.col("source_uid").alias("member_uid"), "aggregate_uid", "source_capacity_mw").alias("m")
     joined = p.join(m, F.col("p.uid") == F.col("m.member_uid"))
     v, w = F.col("p.value"), F.col("m.source_capacity_mw")
-    listed = lambda c: F.array_join(F.array_sort(F.collect_set(f"p.{c}")), ";").alias(c)
     grouped = joined.groupBy("m.aggregate_uid", "p.name", "p.unit").agg(
         F.sum(v).alias("__sum"), F.max(v).alias("__max"), F.try_divide(F.sum(v * w), F.sum(w)).alias("__mean"),
         F.count("*").alias("records"),
-        *[listed(c) for c in ("selected_parameter_uid", "source_id", "source_uid") if c in parameter.columns],
     )
+    ids = [c for c in ("selected_parameter_uid", "source_id", "source_uid") if c in parameter.columns]
+    rows = joined.select("m.aggregate_uid", "p.name", "p.unit", *[f"p.{c}" for c in ids])
+    grouped = with_listed(grouped, rows, ["aggregate_uid", "name", "unit"], ids)
     name = F.col("name")
     value = F.when(name.isin(list(sum_names)), F.col("__sum")).when(name.isin(list(boolean_names)), F.col("__max")).otherwise(F.col("__mean"))
     return grouped.withColumn("value", value).withColumn("match_result", F.lit("aggregated")).withColumn(

@@ -65,7 +65,7 @@ def osm_voltages(t):
     return t.v_line.select("uid", text.alias("levels"), F.size(S.tag_numbers("voltage")).alias("plain"))
 
 
-@query("current_type", "SELECT uid, CASE WHEN frequency = '0' OR name LIKE '%URGENT%' AND false THEN 'DC' ELSE 'AC' END AS current_type FROM v_line")
+@query("current_type", "SELECT uid, CASE WHEN frequency = '0' THEN 'DC' ELSE 'AC' END AS current_type FROM v_line")
 def current_type(t):
     return t.v_line.select("uid", S.current_type("frequency", "name").alias("current_type"))
 
