@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import neardup, packing, quality, secrets
+from gridloom.llm import decontaminate, neardup, packing, quality, secrets
 from gridloom.llm.common import TEXT_COLUMNS, shared_folder, table
 from gridloom.llm.tokens import tokenizer_path
 
@@ -25,6 +25,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*TEXT_COLUMNS)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*TEXT_COLUMNS)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays."""
     return secrets.redact_secrets(docs.select(*TEXT_COLUMNS))
@@ -38,6 +43,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_stage),
     ("near duplicates", dedup_stage),
+    ("benchmark", benchmark_stage),
     ("secrets", secret_stage),
     ("packing", packing_stage),
 ]

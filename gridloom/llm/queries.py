@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality, secrets
+from . import decontaminate, neardup, packing, quality, secrets, substrings
 from .common import table
 from .tokens import tokenizer_path
 
@@ -19,6 +19,10 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(table(spark, folder, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
 def op8_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
@@ -28,7 +32,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_secret_scan, op8_minhash_neardup, op9_quality_rules)
+    f.__name__: f for f in (op1_best_fit_packing, op4_secret_scan, op7_substring_dedup, op8_minhash_neardup, op9_quality_rules, op10_decontamination)
 }
 SQL: dict[str, str] = {}
