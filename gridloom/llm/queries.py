@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, packing, quality, secrets, substrings
+from . import decontaminate, huffman, neardup, packing, quality, secrets, substrings, warc
 from .common import table
 from .tokens import tokenizer_path
 
@@ -19,6 +19,14 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(table(spark, folder, "documents"))
 
 
+def op5_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, folder, "pages"))
+
+
+def op6_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return huffman.huffman_round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.without_repeats(table(spark, folder, "documents")).drop("kept_text")
 
@@ -37,6 +45,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_secret_scan, op7_substring_dedup, op8_minhash_neardup, op9_quality_rules, op10_decontamination)
+    f.__name__: f for f in (op1_best_fit_packing, op4_secret_scan, op5_warc_zip, op6_huffman_ids, op7_substring_dedup, op8_minhash_neardup, op9_quality_rules, op10_decontamination)
+}
+SQL: dict[str, str] = {
+    "op5_warc_zip": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
+        SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM g""",
 }
-SQL: dict[str, str] = {}
