@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, neardup, packing, quality, secrets, sharding, substrings, warc
+from . import decontaminate, huffman, neardup, packing, pii, quality, secrets, sharding, substrings, warc
 from .common import table
 from .tokens import tokenizer_path
 
@@ -15,6 +15,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, size=4096)
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_spans(table(spark, folder, "documents"))
+
+
 def op3_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, folder, "documents"), shards=40)
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_label_propagation, op4_secret_scan, op5_warc_zip, op6_huffman_ids, op7_substring_dedup, op8_minhash_neardup, op9_quality_rules, op10_decontamination)
+    f.__name__: f for f in (op1_best_fit_packing, op2_personal_data, op3_label_propagation, op4_secret_scan, op5_warc_zip, op6_huffman_ids, op7_substring_dedup, op8_minhash_neardup, op9_quality_rules, op10_decontamination)
 }
 SQL: dict[str, str] = {
     "op5_warc_zip": """
