@@ -16,7 +16,7 @@ from gridloom.llm.tokens import tokenizer_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the adaptive thresholds reject go."""
-    return quality.quality_verdicts(docs).where("kept").select(*TEXT_COLUMNS)
+    return quality.quality_verdicts(docs, keep=TEXT_COLUMNS).where("kept").select(*TEXT_COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

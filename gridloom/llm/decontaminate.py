@@ -110,5 +110,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_key: str = "do
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents without a verified overlap, columns unchanged; rows without an id are kept."""
-    bad = contaminated_pairs(docs, benchmark, key).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("__bad"), "left_anti")
+    name = "__bad"
+    while name in docs.columns:
+        name += "_"
+    bad = contaminated_pairs(docs, benchmark, key).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(key) == F.col(name), "left_anti")

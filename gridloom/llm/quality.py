@@ -9,12 +9,13 @@ Only DataFrame functions are used. No document text is shuffled: thresholds are
 groups. Tasks sketch their own rows first, so a hot source costs one sketch per task.
 
 Defined results: null or blank text has no words and fails; null language or source are groups of their
-own; repeated rows are judged one by one; an empty table gives an empty result; other columns are kept and
-may have any name but those that this operator adds.
+own; repeated rows are judged one by one; an empty table gives an empty result; columns that are not asked
+for are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,9 +28,9 @@ WINDOW = 5
 #: (measure, rank of the middle, rank of the outer mark, spreads allowed, least distance from the middle).
 #: A threshold lies `spreads` times (outer - middle) beyond the middle, and at least the least distance.
 RULES = (
-    ("word_length", 0.5, 0.75, 8.0, 2.5, "both"),
+    ("word_length", 0.5, 0.75, 8.0, 4.0, "both"),
     ("symbol_ratio", 0.5, 0.75, 4.0, 0.75, "high"),
-    ("dup_line_ratio", 0.5, 0.75, 4.0, 0.3, "high"),
+    ("dup_line_ratio", 0.5, 0.75, 4.0, 0.6, "high"),
     ("repeat_ratio", 0.5, 0.75, 4.0, 0.2, "high"),
 )
 LEAST_DOCS = 200
@@ -136,10 +137,11 @@ def thresholds(groups: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
-def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """Documents with their measures and `kept`: false if a base rule fails or a measure lies outside the
+def quality_verdicts(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Columns to keep, measures and `kept`: false if a base rule fails or a measure lies outside the
     thresholds of its language and source."""
-    measured = measures(docs)
+    wanted = list(dict.fromkeys([*keep, text, "lang", "source"]))
+    measured = measures(docs.select(*wanted), text)
     # The sketches need numbers only; the column pruning of the second scan leaves the rest out.
     limits = thresholds(sketches(measured.select("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "__n_lines", "n_repeat_words")))
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
@@ -150,4 +152,4 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
             inside.append(ratios[m] >= F.col(f"{m}_low"))
     verdict = F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
     marks = [f"{m}_{s}" for m, *_, sides in RULES for s in (("high", "low") if sides == "both" else ("high",))]
-    return joined.withColumn("kept", ~F.col("base_failed") & verdict).drop("__lang", "__source", "__n_lines", "level", *marks)
+    return joined.withColumn("kept", ~F.col("base_failed") & verdict).drop(*[c for c in wanted if c not in keep], "__lang", "__source", "__n_lines", "level", *marks)
