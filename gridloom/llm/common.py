@@ -44,3 +44,12 @@ def partitions(spark: SparkSession) -> int:
 def words_of(text: Column) -> Column:
     """Words between runs of U+0020 and U+0009 to U+000D; none for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """Keep the optimizer from merging later filters and projections into the columns computed so far.
+
+    A filter on a derived column is otherwise pushed below it, and an array that a lambda reads is then
+    computed again for each of its elements. Drop `__fence` afterwards.
+    """
+    return df.drop("__fence").withColumn("__fence", F.monotonically_increasing_id()).where("__fence >= 0")

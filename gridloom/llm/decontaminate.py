@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fenced, written
 
 #: Masks of weight 6. By simulation they hit 20 tokens with a probability of 0.998 if one token in ten is
 #: substituted, and of 0.96 if it is one in five.
@@ -96,14 +96,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_key: str = "do
     items = written(items.where(F.size("it") >= min(map(len, MASKS))), "items")
     near = lines.join(bounded(items, BROADCAST_SEEDS // 100), "item_id")
     body = docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("body"))
-    both = body.join(near, "doc_id").withColumn("dt", tokens_of(F.col("body"))).drop("body")
+    both = fenced(body.join(near, "doc_id").withColumn("dt", tokens_of(F.col("body"))).drop("body"))
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("it"), F.size("dt") - F.col("shift")) - 1
     flags = F.when(low <= high, F.transform(F.sequence(low, high), lambda j: (F.get("it", j) == F.get("dt", j + F.col("shift"))).cast("int")))
-    judged = both.withColumn("flags", flags).where("flags is not null")
+    judged = fenced(both.withColumn("flags", flags).withColumn("whole", F.least(F.size("it"), F.lit(WINDOW))).drop("it", "dt")).where("flags is not null")
     matched, compared = _best_window(F.col("flags"))
-    whole = F.least(F.size("it"), F.lit(WINDOW))
-    judged = judged.select("doc_id", "item_id", matched.alias("matched"), compared.alias("compared"), whole.alias("whole"))
+    judged = fenced(judged.select("doc_id", "item_id", matched.alias("matched"), compared.alias("compared"), "whole"))
     kept = judged.where((F.col("compared") == F.col("whole")) & (100 * F.col("matched") >= PERCENT * F.col("compared")))
     return kept.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"))
 

@@ -3,9 +3,11 @@
 1. Documents with the same word sequence are one class; its smallest id speaks for it.
 2. Each class gets a MinHash signature of its distinct word shingles. `BANDS` bands of `ROWS` values are its
    band keys; classes with a common band key are candidates.
-3. In a first pass every member of a band is compared with the smallest id of that band only. A group of n
+3. In a first pass every member of a band is compared with one member of it, drawn by hash. A group of n
    near copies makes n candidates a band, not n * n. In a second pass the members of a band that are not yet
    in one component are compared with each other; a pair inside one component can't change a component.
+   Shingles that no other class of that pass has bound what a pair can have in common, and pairs that can't
+   reach the threshold by this bound are not made. A class with a fifth of its own shingles is in none.
 4. A candidate is judged sequentially: after each batch of signature values, the posterior probability that
    its similarity reaches the threshold, given the matches so far and a uniform prior, is compared with the
    chosen miss probability. Survivors are verified on their full shingle sets. So every link is exact.
@@ -191,14 +193,30 @@ def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width: int
     return whole.mapInArrow(_verified(width, percent), "a long, b long")
 
 
+def _shared_counts(ids: DataFrame, sizes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, shared): shingles of a class, and how many of them some other class of `ids` has too. Two classes
+    have at most the smaller `shared` in common, which bounds their similarity exactly. Hashes may only
+    join different shingles, which makes `shared` larger and the bound weaker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hash_words(t.split(" "), width) for t in batch.column(1).to_pylist()]
+            owner = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64) if found else owner)], ["id", "h"])
+
+    rows = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, h long")
+    own = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return ids.join(sizes, "id").join(own, "id", "left").select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def near_duplicate_links(signatures: DataFrame, body: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """Links (a, b) that give the components of the classes (id, signature); body has (id, folded text)."""
     bands = signatures.select("id", F.explode(band_keys(F.col("signature"))).alias("band"))
-    centres = bands.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    centres = bands.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("centre"), F.count("*").alias("members")).where("members > 1")
     crowded = written(bands.join(centres, "band").select("band", "id", "centre", "members"), "bands")
     # Only texts of classes with a candidate are kept for the verification.
     texts = written(body.join(crowded.select("id").distinct(), "id", "left_semi"), "texts")
-    first = crowded.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    first = crowded.where("id != centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
     links = written(_links(first, signatures, texts, width, percent, miss), "links")
     # Second pass: pairs of different components in a band, but for those with the centre, which are done.
     of = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
@@ -207,8 +225,14 @@ def near_duplicate_links(signatures: DataFrame, body: DataFrame, width: int = 5,
     )
     mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     rest = written(rest.join(mixed, "band", "left_semi"), "mixed")
-    other = rest.select("band", F.col("id").alias("b"), F.col("component").alias("other"))
-    second = rest.withColumnRenamed("id", "a").join(other, "band").where("a < b and component != other").select("a", "b").distinct()
+    shared = _shared_counts(rest.select("id").distinct(), signatures.select("id", "n_shingles"), texts, width)
+    # A class too many of whose shingles are its own can't reach the threshold with any other.
+    rest = rest.join(shared.where(100 * F.col("shared") >= percent * F.col("n")), "id")
+    other = rest.select("band", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("shared").alias("also"))
+    most = F.least("shared", "also")
+    second = rest.withColumnRenamed("id", "a").join(other, "band").where(
+        (F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most))
+    ).select("a", "b").distinct()
     second = second.join(first, ["a", "b"], "left_anti")
     more = _links(second, signatures, texts, width, percent, miss)
     return written(links.union(more), "links")
@@ -225,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     of = written(signed.select("doc_id", "n_shingles", "digest").join(spokes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "classes")
     speaks = of.where("doc_id = id and n_shingles > 0").select("doc_id").distinct()
     signatures = written(
-        signed.where("digest is not null").join(speaks, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]), "signatures"
+        signed.where("digest is not null").join(speaks, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "signature").dropDuplicates(["id"]), "signatures"
     )
     links = near_duplicate_links(signatures, body.where("text != ''").withColumnRenamed("doc_id", "id"), width, percent, miss)
     groups = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")

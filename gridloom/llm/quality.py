@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words_of
+from .common import SPACES, fenced, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -82,7 +82,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base measures as columns; the text stays as it is."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = docs.withColumn("__w", words_of(F.col(text))).withColumn("__l", lines)
+    out = fenced(docs.withColumn("__w", words_of(F.col(text))).withColumn("__l", lines))
     w = F.col("__w")
     out = out.withColumns({
         "n_words": F.size(w).cast("long"),
@@ -92,9 +92,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "__n_lines": F.size("__l").cast("long"),
         "n_repeat_words": repeated_words(w),
     })
-    return out.withColumn(
+    return fenced(out.drop("__w", "__l")).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    ).drop("__w", "__l")
+    ).drop("__fence")
 
 
 def _ratios() -> dict[str, Column]:
