@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 WIDTH, GRAM = 20, 4
-#: Bytes of text that a task handles at once, and buckets per shuffle partition.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are hashed at once and that make one set of blobs; buckets per shuffle partition.
+SLICE_BYTES = 2 << 20
+FLUSH_BYTES = 12 << 20
+#: Rows of an Arrow batch that become Python objects at once.
+ROWS = 256
 BUCKETS_PER_PARTITION = 4
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -123,54 +126,75 @@ def super_kmers(words: np.ndarray, first_of_doc: np.ndarray) -> tuple[np.ndarray
 
 def _slices(batch: pa.RecordBatch) -> Iterator[list[tuple[int, bytes]]]:
     some, size = [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        body = (text or "").encode()
-        if len(body) >= 2 * WIDTH - 1:
-            some.append((doc, body))
-            size += len(body)
-        if size >= SLICE_BYTES:
-            yield some
-            some, size = [], 0
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            body = (text or "").encode()
+            if len(body) >= 2 * WIDTH - 1:
+                some.append((doc, body))
+                size += len(body)
+            if size >= SLICE_BYTES:
+                yield some
+                some, size = [], 0
     if some:
         yield some
 
 
+class _Blobs:
+    """Super-k-mers by bucket; equal strings are kept once."""
+
+    def __init__(self) -> None:
+        self.buckets: dict[int, tuple[list[int], list[int], list[int], dict[bytes, int]]] = {}
+        self.size = 0
+
+    def add(self, docs: list[tuple[int, bytes]], buckets: int) -> None:
+        raw = np.frombuffer(b"\n".join(b for _, b in docs), dtype=np.uint8)
+        clean, starts, ends = clean_words(raw)
+        # Words before each document: words that start before its first byte.
+        space = _IS_SPACE[raw]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        before = np.concatenate(([0], np.cumsum(begins)))
+        first = before[np.concatenate(([0], np.cumsum([len(b) + 1 for _, b in docs])[:-1]))]
+        counts = np.diff(np.append(first, len(starts)))
+        first_of = np.repeat(first, counts)
+        ids = np.repeat(np.array([d for d, _ in docs], dtype=np.int64), counts)
+        s, n, gram = super_kmers(_word_hashes(clean, starts, ends), first_of)
+        bucket = (_mixed(gram) % np.uint64(buckets)).tolist()
+        body = clean.tobytes()
+        for k, lo, hi, doc, place in zip(bucket, starts[s].tolist(), ends[s + n + WIDTH - 2].tolist(), ids[s].tolist(), (s - first_of[s]).tolist()):
+            held = self.buckets.get(k)
+            if held is None:
+                held = self.buckets[k] = ([], [], [], {})
+            held[0].append(doc)
+            held[1].append(place)
+            held[2].append(held[3].setdefault(body[lo:hi], len(held[3])))
+        self.size += len(raw)
+
+    def flush(self, press) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.buckets), 64):
+            some = sorted(self.buckets)[at : at + 64]
+            blobs = []
+            for k in some:
+                doc, place, number, seen = self.buckets[k]
+                text = b"\n".join(seen)
+                head = struct.pack("<qq", len(doc), len(text)) + np.array([doc, place, number], dtype="<i8").tobytes()
+                blobs.append(press.compress(head + text))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        self.__init__()
+
+
 def _packer(buckets: int):
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press, blobs = zstandard.ZstdCompressor(level=6), _Blobs()
         for batch in batches:
             for docs in _slices(batch):
-                raw = np.frombuffer(b"\n".join(b for _, b in docs), dtype=np.uint8)
-                clean, starts, ends = clean_words(raw)
-                # Words before each document: words that start before its first byte.
-                sizes = np.array([len(b) + 1 for _, b in docs])
-                space = _IS_SPACE[raw]
-                begins = ~space
-                begins[1:] &= space[:-1]
-                before = np.concatenate(([0], np.cumsum(begins)))
-                first = before[np.concatenate(([0], np.cumsum(sizes)[:-1]))]
-                counts = np.diff(np.append(first, len(starts)))
-                first_of = np.repeat(first, counts)
-                ids = np.repeat(np.array([d for d, _ in docs], dtype=np.int64), counts)
-                s, n, gram = super_kmers(_word_hashes(clean, starts, ends), first_of)
-                bucket = (_mixed(gram) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                body = clean.tobytes()
-                lo, hi = starts[s].tolist(), ends[s + n + WIDTH - 2].tolist()
-                doc, place = ids[s], s - first_of[s]
-                marks = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                out_bucket, out_blob = [], []
-                for a, b in zip(marks[:-1], marks[1:]):
-                    rows = order[a:b]
-                    seen: dict[bytes, int] = {}
-                    number = [seen.setdefault(body[lo[i] : hi[i]], len(seen)) for i in rows.tolist()]
-                    text = b"\n".join(seen)
-                    blob = struct.pack("<qq", len(rows), len(text)) + doc[rows].astype("<i8").tobytes() + place[rows].astype("<i8").tobytes() + np.array(number, dtype="<i8").tobytes() + text
-                    out_bucket.append(int(bucket[rows[0]]))
-                    out_blob.append(press.compress(blob))
-                yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
+                blobs.add(docs, buckets)
+                if blobs.size >= FLUSH_BYTES:
+                    yield from blobs.flush(press)
+        yield from blobs.flush(press)
 
     return run
 
@@ -254,32 +278,49 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return packed.groupBy("bucket").applyInArrow(_count_bucket, "doc_id long, start long, windows long")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, each by itself, for the way to their runs."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=6)
     for batch in batches:
-        n_words, n_removed, kept_texts, digests = [], [], [], []
-        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = (text or "").encode().split()
-            drop = np.zeros(len(words) + 1, dtype=np.int64)
-            for r in runs or ():
-                drop[r["start"]] += 1
-                drop[min(len(words), r["start"] + r["windows"] + WIDTH - 1)] -= 1
-            gone = np.cumsum(drop)[:-1] > 0
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if runs else words)
-            n_words.append(len(words))
-            n_removed.append(int(gone.sum()))
-            kept_texts.append(kept)
-            digests.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string()), pa.array(digests)],
-            ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-        )
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            texts = [press.compress((t or "").encode()) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["doc_id", "body"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            n_words, n_removed, kept_texts, digests = [], [], [], []
+            for body, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = press.decompress(body).split()
+                drop = np.zeros(len(words) + 1, dtype=np.int64)
+                for r in runs or ():
+                    drop[r["start"]] += 1
+                    drop[min(len(words), r["start"] + r["windows"] + WIDTH - 1)] -= 1
+                gone = np.cumsum(drop)[:-1] > 0
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if runs else words)
+                n_words.append(len(words))
+                n_removed.append(int(gone.sum()))
+                kept_texts.append(kept.decode())
+                digests.append(hashlib.sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(digests, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
+            )
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256) for each document."""
     # The runs of a document are at most as many as its words.
     runs = repeated_runs(docs, key, text).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pressed, "doc_id long, body binary")
     return body.join(runs, "doc_id", "left").mapInArrow(
         _without, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     )
