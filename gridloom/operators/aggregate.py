@@ -80,7 +80,7 @@ def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sour
 
 
 def aggregate_parameters(
-    parameter: DataFrame, members: DataFrame, *, sum_names: Iterable[str] = (), boolean_names: Iterable[str] = ()
+    parameter: DataFrame, members: DataFrame, *, sum_names: Iterable[str] = (), boolean_names: Iterable[str] = (), list_sources: bool = True
 ) -> DataFrame:
     """Parameters of aggregates: sum, maximum or capacity-weighted mean; units stay apart.
 
@@ -94,7 +94,7 @@ def aggregate_parameters(
         F.sum(v).alias("__sum"), F.max(v).alias("__max"), F.try_divide(F.sum(v * w), F.sum(w)).alias("__mean"),
         F.count("*").alias("records"),
     )
-    ids = [c for c in ("selected_parameter_uid", "source_id", "source_uid") if c in parameter.columns]
+    ids = [c for c in ("selected_parameter_uid", "source_id", "source_uid") if list_sources and c in parameter.columns]
     rows = joined.select("m.aggregate_uid", "p.name", "p.unit", *[f"p.{c}" for c in ids])
     grouped = with_listed(grouped, rows, ["aggregate_uid", "name", "unit"], ids)
     name = F.col("name")

@@ -8,8 +8,10 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..session import cut_lineage
 from .manifest import CONTRACT, contract, with_values
 
 SPECS = contract(CONTRACT)
@@ -170,9 +172,16 @@ def append_load_shedding(generators: DataFrame, loads: DataFrame, cost: float, m
 
 def dense_ids(nodes: DataFrame, uid: str, prefix: str, width: int = 5) -> DataFrame:
     """Display ids in uid order: range partitions are counted, then numbered with their offset."""
-    ordered = nodes.select(uid).distinct()
-    numbered = ordered.sort(uid).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(f"{uid} string, n long")
-    return nodes.join(numbered, uid).withColumn("display_id", F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), width, "0"))).drop("n")
+    ordered = nodes.select(F.col(uid).alias("__uid")).where(F.col(uid).isNotNull()).distinct().repartitionByRange("__uid").sortWithinPartitions("__uid")
+    # The id holds the partition above 33 bits and the row in it below; both are kept as they were written.
+    placed = cut_lineage(ordered.withColumn("__id", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.withColumn("__part", part).join(sizes.select("__part", before.alias("__before")), "__part").select(
+        "__uid", F.concat(F.lit(prefix), F.format_string(f"%0{width}d", F.col("__before") + row)).alias("display_id")
+    )
+    return nodes.join(numbered, F.col(uid) == F.col("__uid")).drop("__uid")
 
 
 def number_endpoints(branches: DataFrame, ids: DataFrame, uid: str = "node_uid") -> DataFrame:

@@ -101,21 +101,18 @@ def exact_percentiles(
 
 
 BLOCK = 4096
-LISTED = 1000
 
 
 def with_listed(groups: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Add sorted distinct values of columns as ';' text to a table of one row per key.
 
-    A group with more than a thousand values names their count instead: the values themselves stay
-    rows of the membership table, and no group is gathered beyond that size.
+    The text holds all values of a group, so it is an option of the caller: the values also are rows of
+    the membership table, which is the form for groups of any size.
     """
     for c in columns:
         values = rows.select(*keys, c).where(F.col(c).isNotNull()).distinct()
-        sized = with_group_totals(values, keys, __n=F.count("*"))
-        items = F.array_sort(F.collect_list(F.when(F.col("__n") <= LISTED, F.col(c))))
-        text = F.when(F.max("__n") > LISTED, F.concat(F.lit("records="), F.max("__n").cast("string"))).otherwise(F.array_join(items, ";"))
-        found = sized.groupBy(*keys).agg(text.alias(c)).withColumnsRenamed({k: f"__{k}" for k in keys})
+        text = F.array_join(F.array_sort(F.collect_list(c)), ";")
+        found = values.groupBy(*keys).agg(text.alias(c)).withColumnsRenamed({k: f"__{k}" for k in keys})
         condition = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
         groups = groups.join(found, condition, "left").drop(*[f"__{k}" for k in keys])
         groups = groups.withColumn(c, F.coalesce(c, F.lit("")))

@@ -250,16 +250,20 @@ def horizon_windows(times: DataFrame, horizon: int, step: timedelta, time: str =
 
 
 def availability_matrix(
-    assets: DataFrame, axis: DataFrame, profiles: DataFrame, variable_classes: Iterable[str]
+    assets: DataFrame, axis: DataFrame, profiles: DataFrame, variable_classes: Iterable[str], step: timedelta = timedelta(hours=1)
 ) -> DataFrame:
-    """Availability per asset and time: its profile, else 0 for a variable class, else 1.
+    """Availability per asset and given snapshot: its profile, else 0 for a variable class, else 1.
 
-    The calendar is exploded per asset from its two ends, so the result grid is built without a
-    cross join; axis is (time) on a regular step.
+    Assets times snapshots is the result itself. The calendar is exploded per asset from its two ends by
+    `step`, then kept where the axis has a snapshot, so gaps of the axis stay gaps. Snapshots that lie on no
+    step are refused.
     """
-    ends = axis.agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.countDistinct("time").alias("n")).first()
-    step = (ends["hi"] - ends["lo"]) / max(ends["n"] - 1, 1) or timedelta(hours=1)
-    grid = assets.select("uid", "class", _axis(ends["lo"], ends["hi"], step).alias("time"))
+    snapshots = axis.select("time").where("time IS NOT NULL").distinct()
+    ends = snapshots.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).first()
+    micros = F.unix_micros(F.col("time").cast("timestamp"))
+    low = F.unix_micros(F.lit(ends["lo"]).cast("timestamp"))
+    require_none(snapshots.where(F.pmod(micros - low, F.lit(int(step.total_seconds() * 1e6))) != 0), "snapshots off the step")
+    grid = assets.select("uid", "class", _axis(ends["lo"], ends["hi"], step).alias("time")).join(snapshots, "time", "left_semi")
     default = F.when(F.col("class").isin(*variable_classes), F.lit(0.0)).otherwise(F.lit(1.0))
     return grid.join(profiles.select("uid", "time", F.col("availability_pu").alias("__p")), ["uid", "time"], "left").select(
         "time", "uid", F.coalesce("__p", default).alias("p_max_pu")

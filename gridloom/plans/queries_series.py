@@ -295,22 +295,22 @@ def stacked_availability(t):
 
 @query(
     "common_times",
-    """WITH a AS (SELECT time, uid, demand_mw FROM v_hourly WHERE uid = 'error'), b AS (SELECT time, uid, demand_mw FROM v_hourly WHERE uid = 'signup'),
+    """WITH a AS (SELECT time, uid, demand_mw FROM v_hourly WHERE uid <= 'error'), b AS (SELECT time, uid, demand_mw FROM v_hourly WHERE uid > 'error'),
             c AS (SELECT time FROM a INTERSECT SELECT time FROM b)
        SELECT CAST(x.time AS VARCHAR) AS time, x.uid, round(x.demand_mw, 6) AS demand_mw FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x WHERE x.time IN (SELECT time FROM c)""",
 )
 def common_times(t):
     h = t.v_hourly.select("time", "uid", "demand_mw")
-    a, b = timeseries.common_times(h.where("uid = 'error'"), h.where("uid = 'signup'"))
+    a, b = timeseries.common_times(h.where("uid <= 'error'"), h.where("uid > 'error'"))
     return rounded(a.unionByName(b))
 
 
 @query(
     "missing_times",
-    "SELECT CAST(time AS VARCHAR) AS time FROM (SELECT time FROM v_hours EXCEPT SELECT time FROM v_hourly WHERE uid = 'error')",
+    "SELECT CAST(time AS VARCHAR) AS time FROM (SELECT time FROM v_hours EXCEPT SELECT time FROM v_hourly WHERE demand_mw > 400)",
 )
 def missing_times(t):
-    return rounded(timeseries.missing_times(t.v_hours, t.v_hourly.where("uid = 'error'")))
+    return rounded(timeseries.missing_times(t.v_hours, t.v_hourly.where("demand_mw > 400")))
 
 
 @query(
@@ -340,7 +340,7 @@ def horizon_windows(t):
 
 @query(
     "availability_matrix",
-    """WITH d AS (SELECT DISTINCT time FROM v_resource), p AS (SELECT time, uid, avg(availability_pu) AS availability_pu FROM v_resource WHERE class = 'onshore' GROUP BY 1, 2),
+    """WITH d AS (SELECT DISTINCT time FROM v_resource), p AS (SELECT time, uid, avg(availability_pu) AS availability_pu FROM v_resource GROUP BY 1, 2),
             a AS (SELECT uid, class, concat('cell:', CAST(CAST(substr(uid, 5) AS BIGINT) % 60 AS VARCHAR(10))) AS cell FROM v_generator)
        SELECT CAST(d.time AS VARCHAR) AS time, a.uid, round(coalesce(p.availability_pu, CASE WHEN a.class IN ('wind', 'solar', 'hydropower') THEN 0.0E0 ELSE 1.0E0 END), 6) AS p_max_pu
        FROM a CROSS JOIN d LEFT JOIN p ON p.uid = a.cell AND p.time = d.time""",
@@ -349,9 +349,9 @@ def availability_matrix(t):
     assets = t.v_generator.select(
         "uid", "class", F.concat(F.lit("cell:"), (F.substring("uid", 5, 20).cast("long") % 60).cast("string")).alias("cell")
     )
-    cell = t.v_resource.where("class = 'onshore'").groupBy("time", F.col("uid").alias("cell")).agg(F.avg("availability_pu").alias("availability_pu"))
+    cell = t.v_resource.groupBy("time", F.col("uid").alias("cell")).agg(F.avg("availability_pu").alias("availability_pu"))
     profiles = assets.join(cell, "cell").select("time", "uid", "availability_pu")
-    return rounded(timeseries.availability_matrix(assets, t.v_resource.select("time"), profiles, backend.VARIABLE_CLASSES))
+    return rounded(timeseries.availability_matrix(assets, t.v_resource.select("time"), profiles, backend.VARIABLE_CLASSES, DAY))
 
 
 # --- dispatch and charts ------------------------------------------------------------------------

@@ -120,7 +120,7 @@ def generators_standard(t):
 
 
 def _projects(t):
-    parts = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 49, F.col("l_returnflag")))).alias("flags"))
+    parts = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
     device = F.transform("flags", lambda f: F.struct(F.struct(F.concat(F.lit("Tech "), f).alias("Technology Mid-Type")).alias("Storage Device")))
     return t.supplier.join(parts, F.col("s_suppkey") == F.col("k")).select(
         F.col("s_suppkey").cast("string").alias("ID"), F.col("s_name").alias("Project/Plant Name"), F.lit("China").alias("Country"), F.lit("P").alias("State/Province"),
@@ -130,7 +130,7 @@ def _projects(t):
     )
 
 
-PROJECT_SQL = """pj AS (SELECT s.s_suppkey AS k, CASE WHEN s.s_suppkey % 9 <> 0 THEN (SELECT string_agg(DISTINCT concat('Tech ', l_returnflag), '; ' ORDER BY concat('Tech ', l_returnflag)) FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l_quantity > 49) END AS tech FROM supplier s)"""
+PROJECT_SQL = """pj AS (SELECT s.s_suppkey AS k, CASE WHEN s.s_suppkey % 9 <> 0 THEN (SELECT string_agg(DISTINCT concat('Tech ', l_returnflag), '; ' ORDER BY concat('Tech ', l_returnflag)) FROM lineitem l WHERE l.l_suppkey = s.s_suppkey) END AS tech FROM supplier s)"""
 
 
 @query("storage_projects", f"WITH {PROJECT_SQL} SELECT CAST(k AS VARCHAR(20)) AS id, coalesce(tech, '') AS technology FROM pj")

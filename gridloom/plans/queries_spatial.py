@@ -162,7 +162,7 @@ def cell_load_at(t):
     "composite_shares",
     """WITH z AS (SELECT uid, admin_uid AS region, CAST(substr(uid, 5) AS BIGINT) % 7 + 1 AS a, CAST(substr(uid, 5) AS BIGINT) % 5 AS b FROM v_place),
             h AS (SELECT time, class, avg(demand_mw) AS h FROM v_series GROUP BY 1, 2), q AS (SELECT z.uid, z.region, h.time, sum(CASE h.class WHEN 'view' THEN 3.0E0 * h.h * z.a ELSE 2.0E0 * h.h * z.b END) AS q
-              FROM z JOIN h ON h.class IN ('view', 'click') AND h.time >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2, 3)
+              FROM z JOIN h ON h.class IN ('view', 'click') GROUP BY 1, 2, 3)
        SELECT uid, region, CAST(time AS VARCHAR) AS time, round(q, 6) AS q, round(q / nullif(sum(q) OVER (PARTITION BY region, time), 0), 6) AS share FROM q""",
 )
 def composite_shares(t):
@@ -172,7 +172,7 @@ def composite_shares(t):
         F.struct(F.lit("click").alias("class"), F.lit(2.0).alias("energy"), (k % 5).cast("double").alias("z")),
     )
     z = t.v_place.select("uid", F.col("admin_uid").alias("region"), F.explode(sectors).alias("s")).select("uid", "region", "s.*")
-    h = t.v_series.where(F.col("time") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).groupBy("time", "class").agg(F.avg("demand_mw").alias("h"))
+    h = t.v_series.groupBy("time", "class").agg(F.avg("demand_mw").alias("h"))
     return rounded(crosswalk.composite_shares(z.join(h, "class"), ["uid", "region", "time"], "energy", "h", "z", "region"))
 
 

@@ -166,14 +166,14 @@ def parse_opl(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         hit = F.filter("rest", lambda f: f.startswith(letter) & (F.length(f) > 1))
         return F.try_url_decode(F.substring(F.element_at(F.when(F.size(hit) > 0, hit), -1), 2, 1_000_000_000))
 
-    number = F.substring("token", 2, 40).cast("long")
+    number = F.substr(F.col("token"), F.lit(2)).cast("long")
     nodes = (
         d.where(F.col("token").startswith("n"))
         .select(number.alias("node"), attribute("x").try_cast("double").alias("lon"), attribute("y").try_cast("double").alias("lat"))
         .where("lon IS NOT NULL AND lat IS NOT NULL")
     )
     refs = d.where(F.col("token").startswith("w")).select(
-        F.concat(F.lit("osm:way:"), F.substring("token", 2, 40)).alias("uid"),
+        F.concat(F.lit("osm:way:"), F.substr(F.col("token"), F.lit(2))).alias("uid"),
         F.posexplode(F.filter(F.split(attribute("N"), ","), lambda t: t != "")).alias("pos", "ref"),
     )
     return nodes, refs.select("uid", "pos", F.regexp_replace("ref", "^n+", "").cast("long").alias("node"))
