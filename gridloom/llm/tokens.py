@@ -15,7 +15,21 @@ import numpy as np
 #: Pieces in one generation of a worker's cache. A full generation becomes the old one, from which pieces
 #: that are met again move to the new one; the cache changes no result.
 CACHE = 400_000
-_ODD = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$|<\|")
+CHUNK = 2048
+#: Closing marks that are set apart from letters; a run of them is one pre-token.
+MARKS = ",.!#$%&*"
+_ODD = re.compile(r"\s[ ]|[ ]\s")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def _odd(text: str) -> bool:
+    """Whether a space meets other white space or an end of the text, or a special token may be in it."""
+    return (
+        text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "<|" in text
+        or (_OTHER_SPACE.search(text) is not None and _ODD.search(text) is not None)
+    )
+
+
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -38,26 +52,61 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        # Tokens that open a piece of letters (a space in front) or close it (an end-of-word mark).
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        opens, closes = "\u0120", "</w>"
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith(opens) if self.joint else t.endswith(closes))]] = True
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, cache: dict[str, bytes], missing: set[str], before: str) -> None:
-        """Encode pieces, many in one text; the place of a token in it tells its piece."""
-        pieces = list(missing)
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            if not before and self.joint:
-                for piece, ids in zip(some, self._ids(some)):
-                    cache[piece] = np.asarray(ids, dtype="<u4").tobytes()
+    def _fill(self, missing: set[str]) -> None:
+        """Encode pieces. Most are letters with some closing marks, which are pre-tokens of their own: equal
+        letters with other marks are encoded once, many in one text, and told apart by marked tokens."""
+        cores: set[str] = set()
+        marked: list[tuple[str, str, str]] = []
+        other: list[str] = []
+        for piece in missing:
+            core = piece.rstrip(MARKS)
+            if not core.isalpha():
+                other.append(piece)
+                continue
+            if core not in self.cache:
+                if core in self.old:
+                    self.cache[core] = self.old[core]
+                else:
+                    cores.add(core)
+            if len(core) < len(piece):
+                marked.append((piece, core, piece[len(core) :]))
+        whole = list(cores)
+        for at in range(0, len(whole), CHUNK):
+            some = whole[at : at + CHUNK]
+            ids = np.asarray(self._ids([" " + " ".join(some)])[0], dtype="<u4")
+            found = np.flatnonzero(self.edge[ids])
+            if len(found) != len(some):  # a letter that is none to the tokenizer
+                other += some
                 continue
+            marks = (np.append(found, len(ids)) if self.joint else np.concatenate(([0], found + 1))) * 4
+            body, marks = ids.tobytes(), marks.tolist()
+            self.cache.update(zip(some, [body[i:j] for i, j in zip(marks, marks[1:])]))
+        self._fill_slowly(other)
+        for piece, core, tail in marked:
+            if tail not in self.tails:
+                self.tails[tail] = np.asarray(self._ids([tail])[0], dtype="<u4").tobytes()
+            self.cache[piece] = self.cache[core] + self.tails[tail]
+
+    def _fill_slowly(self, pieces: list[str]) -> None:
+        """Any pieces, many in one text; the place of a token in it tells its piece."""
+        for at in range(0, len(pieces), CHUNK):
+            some = pieces[at : at + CHUNK]
             found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
             starts = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.offsets))
             lengths = np.fromiter((len(p) + 1 for p in some), dtype=np.int64, count=len(some))
             marks = (np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths)))) * 4).tolist()
             ids = np.asarray(found.ids, dtype="<u4").tobytes()
-            for i, piece in enumerate(some):
-                cache[piece] = ids[marks[i] : marks[i + 1]]
+            self.cache.update(zip(some, [ids[i:j] for i, j in zip(marks, marks[1:])]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
@@ -66,7 +115,7 @@ class Encoder:
         split: list[list[str] | None] = []
         missing, heads = set(), set()
         for t in texts:
-            if not t or _ODD.search(t):
+            if not t or _odd(t):
                 split.append(None)
                 continue
             parts = t.split(" ")
@@ -80,8 +129,10 @@ class Encoder:
         self.cache.update({p: self.old[p] for p in missing if p in self.old})
         missing = {p for p in missing if p not in self.cache}
         heads = {p for p in heads if p not in self.first}
-        self._fill(self.cache, missing, self.joint)
-        self._fill(self.first, heads, "")
+        self._fill(missing)
+        if heads:
+            some = list(heads)
+            self.first.update(zip(some, [np.asarray(i, dtype="<u4").tobytes() for i in self._ids(some)]))
         cache, out = self.cache, []
         for t, parts in zip(texts, split):
             if parts is None:
