@@ -21,9 +21,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fenced, words_of
+from .common import fenced, words_of, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 #: (measure, rank of the middle, rank of the outer mark, spreads allowed, least distance from the middle).
 #: A threshold lies `spreads` times (outer - middle) beyond the middle, and at least the least distance.
@@ -50,26 +50,20 @@ def _window_hash(words: Column):
     return lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
 
 
-def repeated_words(words: Column) -> Column:
-    """Words covered by 5-word windows that the text holds twice or more. Takes sorted (window, place) pairs:
-    equal neighbours mark both places, and marked places cover words once."""
-    # Hashes tell quickly that nothing repeats (equal windows have equal hashes); texts decide.
-    hashes = _windows(words, _window_hash(words))
-    pairs = F.array_sort(_windows(words, lambda i: F.struct(_window_text(words)(i).alias("w"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_covered(pairs))
-
-
-def _covered(pairs: Column) -> Column:
-    """Walk over the sorted pairs, keep places of runs longer than one, then count covered words."""
-    same = F.transform(
-        F.arrays_zip(
-            pairs.alias("p"),
-            F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))).alias("before"),
-            F.concat(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<w:string,i:int>"))).alias("after"),
+def _marked(pairs: Column) -> Column:
+    """Elements (v, i) of a sorted array whose v equals a neighbour's, null for the others."""
+    last = F.size(pairs) - 1
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.when(
+            ((k > 0) & (F.get(pairs, k - 1)["v"] == F.get(pairs, k)["v"])) | ((k < last) & (F.get(pairs, k + 1)["v"] == F.get(pairs, k)["v"])),
+            F.get(pairs, k),
         ),
-        lambda z: F.when((z["p"]["w"] == z["before"]["w"]) | (z["p"]["w"] == z["after"]["w"]), z["p"]["i"]),
     )
-    places = F.array_sort(F.filter(same, lambda i: i.isNotNull()))
+
+
+def _covered(places: Column) -> Column:
+    """Words in windows at sorted places, each once."""
     counted = F.aggregate(
         places,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")),
@@ -78,19 +72,35 @@ def _covered(pairs: Column) -> Column:
     return counted["n"]
 
 
+def with_repeated_words(rows: DataFrame, words: str, name: str) -> DataFrame:
+    """Words covered by 5-word windows that the text holds twice or more.
+
+    Equal windows have equal hashes, so texts whose hashes all differ are done. For others, windows whose hash
+    occurs again are compared by their words. Each step is fenced, as the next one reads its array in lambdas.
+    """
+    w = F.col(words)
+    rows = fenced(rows.withColumn("__h", _windows(w, _window_hash(w))))
+    again = F.size(F.array_distinct("__h")) < F.size("__h")
+    rows = fenced(rows.withColumn("__p", F.when(again, F.array_sort(F.transform("__h", lambda v, i: F.struct(v.alias("v"), i.alias("i")))))).drop("__h"))
+    rows = fenced(rows.withColumn("__c", F.when(F.col("__p").isNotNull(), F.filter(_marked(F.col("__p")), lambda x: x.isNotNull()))).drop("__p"))
+    texts = F.array_sort(F.transform("__c", lambda x: F.struct(_window_text(w)(x["i"]).alias("v"), x["i"].alias("i"))))
+    rows = fenced(rows.withColumn("__t", texts).drop("__c"))
+    places = F.array_sort(F.transform(F.filter(_marked(F.col("__t")), lambda x: x.isNotNull()), lambda x: x["i"]))
+    rows = fenced(rows.withColumn("__places", F.when(F.size("__t") > 0, places)).drop("__t"))
+    return fenced(rows.withColumn(name, F.coalesce(_covered(F.col("__places")), F.lit(0).cast("long"))).drop("__places"))
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base measures as columns; the text stays as it is."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     out = fenced(docs.withColumn("__w", words_of(F.col(text))).withColumn("__l", lines))
-    w = F.col("__w")
-    out = out.withColumns({
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+    out = with_repeated_words(out, "__w", "n_repeat_words").withColumns({
+        "n_words": F.size("__w").cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "__n_lines": F.size("__l").cast("long"),
-        "n_repeat_words": repeated_words(w),
     })
     return fenced(out.drop("__w", "__l")).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -141,9 +151,9 @@ def quality_verdicts(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: s
     """Columns to keep, measures and `kept`: false if a base rule fails or a measure lies outside the
     thresholds of its language and source."""
     wanted = list(dict.fromkeys([*keep, text, "lang", "source"]))
-    measured = measures(docs.select(*wanted), text)
-    # The sketches need numbers only; the column pruning of the second scan leaves the rest out.
-    limits = thresholds(sketches(measured.select("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "__n_lines", "n_repeat_words")))
+    # The texts are measured once; the sketches read the numbers only.
+    measured = written(measures(docs.select(*wanted), text).drop(*[c for c in wanted if c not in {*keep, "lang", "source"}]), "measures")
+    limits = thresholds(sketches(measured))
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     ratios, inside = _ratios(), []
     for m, *_, sides in RULES:
