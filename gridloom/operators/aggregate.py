@@ -49,16 +49,17 @@ def membership(data: DataFrame, *, dataset_id: str, method: str) -> DataFrame:
     )
 
 
-def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sources: bool = True) -> DataFrame:
+def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sources: bool = True, places: DataFrame | None = None) -> DataFrame:
     """Assets of one bus or cell, class and subclass as one row; other columns from the first uid.
 
+    places: (uid, x, y) of the buses or of the cells' centres; an aggregate stands at its own bus or cell.
     `source_uid` lists the members (see `with_listed`); each also is a membership row.
     """
     if method == "none":
         return data
     cap = capacity_column(dataset_id)
     base = data.withColumn("__a", aggregate_uid(dataset_id, _key(method)))
-    summed = {cap, "energy_capacity_mwh", "duration_h"}
+    summed = {cap, "energy_capacity_mwh", "duration_h", *(("x", "y") if places is not None else ())}
     other = [c for c in data.columns if c not in {*summed, "uid", "status", "source_uid", "geometry_method"}]
     aggs = [
         F.min_by(F.struct(*other), "uid").alias("__first"),
@@ -76,7 +77,11 @@ def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sour
     columns += [F.lit("aggregated").alias("status"), F.lit(f"case_{method}_aggregation").alias("geometry_method"), "source_count"]
     if list_sources:
         columns.append("source_uid")
-    return out.select(*columns)
+    out = out.select(*columns)
+    if places is None:
+        return out
+    at = places.select(F.col("uid").alias("__place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return out.join(at, F.col(_key(method)) == F.col("__place"), "left").drop("__place")
 
 
 def aggregate_parameters(

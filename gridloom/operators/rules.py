@@ -16,7 +16,6 @@ RULE_COLUMNS = (
 )
 PATTERNS = ("source_type_pattern", "technology_pattern", "fuel_pattern")
 RULE_DATASETS = ("network", "generator", "storage")
-MAX_RULES = 5000
 
 
 def rule_issues(rules: DataFrame) -> DataFrame:
@@ -35,14 +34,12 @@ def rule_issues(rules: DataFrame) -> DataFrame:
 
 
 def load_rules(rules: DataFrame, source: str, require: bool = True) -> list[dict]:
-    """Checked rules of one source in order. A rule table is configuration with a bounded size."""
+    """Checked rules of one source in order. A rule table is configuration: its rows become one expression."""
     missing = set(RULE_COLUMNS) - set(rules.columns)
     if missing:
         raise ValueError(f"The rule table is missing columns: {sorted(missing)}")
     require_none(rule_issues(rules), "Invalid classification rules")
-    rows = [r.asDict() for r in rules.where(F.col("source") == source).limit(MAX_RULES + 1).collect()]
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"More than {MAX_RULES} rules for one source.")
+    rows = [r.asDict() for r in rules.where(F.col("source") == source).collect()]
     if not rows and require:
         raise ValueError(f"No rules for source {source!r}.")
     for row in rows:

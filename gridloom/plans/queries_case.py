@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, backend, case, crosswalk, mapping, reports
+from ..operators import aggregate, backend, case, crosswalk, mapping, reports, rules
 from .queries_parameters import PARAM_TABLE_SQL, _asset_parameters
 from .queries_spatial import LOAD_SQL, TILE
 from .registry import query, rounded
@@ -39,12 +39,69 @@ def hourly_demand_per_bus(t):
 # --- aggregation --------------------------------------------------------------------------------
 @query(
     "aggregate_assets",
-    """SELECT concat('case:generator:', bus_uid, ':', class, ':', coalesce(subclass, 'unspecified')) AS uid, round(coalesce(sum(capacity_mw), 0), 6) AS capacity_mw, 'aggregated' AS status,
-              string_agg(uid, ';' ORDER BY uid) AS source_uid, count(*) AS source_count, arg_min(technology, uid) AS technology FROM v_generator GROUP BY 1""",
+    """SELECT concat('case:generator:', bus_uid, ':', class, ':', coalesce(g.subclass, 'unspecified')) AS uid, round(coalesce(sum(capacity_mw), 0), 6) AS capacity_mw, 'aggregated' AS status,
+              string_agg(g.uid, ';' ORDER BY g.uid) AS source_uid, count(*) AS source_count, arg_min(technology, g.uid) AS technology, max(b.x) AS x, max(b.y) AS y
+       FROM v_generator g LEFT JOIN v_bus b ON b.uid = g.bus_uid GROUP BY 1""",
 )
 def aggregate_assets(t):
-    d = aggregate.aggregate_assets(t.v_generator, dataset_id="generator", method="bus")
-    return rounded(d.select("uid", "capacity_mw", "status", "source_uid", "source_count", "technology"))
+    d = aggregate.aggregate_assets(t.v_generator, dataset_id="generator", method="bus", places=t.v_bus)
+    return rounded(d.select("uid", "capacity_mw", "status", "source_uid", "source_count", "technology", "x", "y"))
+
+
+@query(
+    "aggregate_assets_by_cell",
+    """SELECT concat('case:generator:', spatial_uid, ':', class, ':', coalesce(subclass, 'unspecified')) AS uid, round(coalesce(sum(capacity_mw), 0), 6) AS capacity_mw, count(*) AS source_count,
+              CAST(max(CAST(substr(spatial_uid, 6) AS BIGINT)) % 5 AS DOUBLE) + 0.5E0 AS x, floor(max(CAST(substr(spatial_uid, 6) AS BIGINT)) / 5.0E0) + 0.5E0 AS y FROM v_generator GROUP BY 1""",
+)
+def aggregate_assets_by_cell(t):
+    k = F.substr(F.col("spatial_uid"), F.lit(6)).cast("long")
+    centres = t.v_generator.select("spatial_uid", k.alias("k")).distinct().select(
+        F.col("spatial_uid").alias("uid"), ((F.col("k") % 5).cast("double") + 0.5).alias("x"), (F.floor(F.col("k") / 5).cast("double") + 0.5).alias("y")
+    )
+    d = aggregate.aggregate_assets(t.v_generator, dataset_id="generator", method="cell", list_sources=False, places=centres)
+    return rounded(d.select("uid", "capacity_mw", "source_count", "x", "y"))
+
+
+@query("bus_display_ids", "SELECT uid, concat('bus_', lpad(CAST(row_number() OVER (ORDER BY uid) - 1 AS VARCHAR), 5, '0')) AS display_id FROM v_bus")
+def bus_display_ids(t):
+    return backend.dense_ids(t.v_bus.select("uid"), "uid", "bus_")
+
+
+@query(
+    "converter_table",
+    """SELECT concat('con:', CAST(s_suppkey AS VARCHAR(20))) AS uid, concat('bus:', CAST(s_suppkey AS VARCHAR(20))) AS bus0, concat('bus:', CAST(s_nationkey AS VARCHAR(20))) AS bus1,
+              CASE WHEN s_suppkey % 2 = 0 THEN round(abs(s_acctbal) + 1, 6) ELSE 3000.0E0 END AS p_nom, CASE WHEN s_suppkey % 3 = 0 THEN 0.9E0 ELSE 0.98E0 END AS efficiency, 'ac_dc_converter' AS carrier FROM supplier""",
+)
+def converter_table(t):
+    k = F.col("s_suppkey")
+    uid = F.concat(F.lit("con:"), k.cast("string"))
+    converters = t.supplier.select(
+        uid.alias("uid"), F.concat(F.lit("bus:"), k.cast("string")).alias("from_bus_uid"), F.concat(F.lit("bus:"), F.col("s_nationkey").cast("string")).alias("to_bus_uid")
+    )
+    rows = F.array(
+        F.struct(F.lit("p_nom_mw").alias("name"), F.when(k % 2 == 0, F.abs("s_acctbal") + 1).alias("value"), F.lit("MW").alias("unit")),
+        F.struct(F.lit("efficiency").alias("name"), F.when(k % 3 == 0, 0.9).alias("value"), F.lit("p.u.").alias("unit")),
+    )
+    params = t.supplier.select(uid.alias("uid"), F.explode(rows).alias("p")).select("uid", "p.*")
+    return rounded(backend.converter_table(converters, params))
+
+
+@query(
+    "rule_table_issues",
+    """WITH r AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN '' ELSE concat('rule:', CAST(p_partkey - p_partkey % 40 % 2 AS VARCHAR(20))) END AS rule_id, CASE WHEN p_partkey % 33 = 0 THEN 'high' ELSE CAST(p_partkey % 97 AS VARCHAR(10)) END AS priority,
+              p_brand AS source, CASE WHEN p_size = 7 THEN 'solver' ELSE 'generator' END AS dataset, CASE WHEN p_size = 9 THEN NULL ELSE p_type END AS class FROM part)
+       SELECT 'missing_rule_id' AS code, rule_id FROM r WHERE rule_id = '' UNION ALL SELECT 'duplicate_rule_id', rule_id FROM r GROUP BY rule_id HAVING count(*) > 1
+       UNION ALL SELECT 'duplicate_priority', concat(source, ':', priority) FROM r GROUP BY source, priority HAVING count(*) > 1 UNION ALL SELECT 'unknown_dataset', rule_id FROM r WHERE dataset = 'solver'
+       UNION ALL SELECT 'missing_class', rule_id FROM r WHERE class IS NULL UNION ALL SELECT 'invalid_priority', rule_id FROM r WHERE priority = 'high'""",
+)
+def rule_table_issues(t):
+    k = F.col("p_partkey")
+    table = t.part.select(
+        F.when(k % 50 == 0, "").otherwise(F.concat(F.lit("rule:"), (k - k % 40 % 2).cast("string"))).alias("rule_id"),
+        F.when(k % 33 == 0, "high").otherwise((k % 97).cast("string")).alias("priority"), F.col("p_brand").alias("source"),
+        F.when(F.col("p_size") == 7, "solver").otherwise("generator").alias("dataset"), F.when(F.col("p_size") != 9, F.col("p_type")).alias("class"),
+    )
+    return rules.rule_issues(table)
 
 
 @query(
