@@ -2,7 +2,7 @@
 
 All texts are tokenized once. Global id counts (as many rows as the vocabulary at most) give code lengths of
 at most MAX_BITS by package-merge; codes are canonical, so a file stores lengths only. Documents are range
-partitioned by id, and each partition becomes one file:
+partitioned by id, and each partition becomes one file or, beyond FILE_TOKENS, several:
 
     header   magic, version, tokens, documents, blocks, length of the code table, payload bytes
     codes    one byte of code length per id, zlib
@@ -40,6 +40,8 @@ HEADER = struct.Struct("<6sHqqqqq")
 MAX_BITS = 20
 BLOCK = 512
 CHUNK = 512 * BLOCK
+#: Tokens after which a task begins another file.
+FILE_TOKENS = 8_000_000
 SLICE = 256
 MISSING = -(2**63)
 
@@ -229,14 +231,26 @@ def write_corpus(docs: DataFrame, folder: str, path: str, end_id: int, key: str
     lengths = code_lengths(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, docs_, arrays = TaskContext.get().partitionId(), [], []
+        number, part, codes = TaskContext.get().partitionId(), 0, canonical_codes(lengths)
+        docs_: list[int | None] = []
+        arrays: list[np.ndarray] = []
+        held = 0
+
+        def close() -> pa.RecordBatch:
+            uri = f"{folder}/part-{number:06d}-{part:06d}.huf"
+            size = write_file(uri, file_bytes(docs_, arrays, lengths, codes))
+            return pa.RecordBatch.from_pylist([{"file": (number << 32) + part, "uri": uri, "documents": len(docs_), "tokens": held, "bytes": size}])
+
         for batch in batches:
-            docs_ += batch.column(0).to_pylist()
-            arrays += [np.frombuffer(b, dtype=kind) for b in batch.column(1).to_pylist()]
+            for doc, ids_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs_.append(doc)
+                arrays.append(np.frombuffer(ids_, dtype=kind))
+                held += len(arrays[-1])
+                if held >= FILE_TOKENS:
+                    yield close()
+                    part, docs_, arrays, held = part + 1, [], [], 0
         if docs_:
-            uri = f"{folder}/part-{number:06d}.huf"
-            size = write_file(uri, file_bytes(docs_, arrays, lengths, canonical_codes(lengths)))
-            yield pa.RecordBatch.from_pylist([{"file": number, "uri": uri, "documents": len(docs_), "tokens": sum(map(len, arrays)), "bytes": size}])
+            yield close()
 
     ordered = ids.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return written(ordered.mapInArrow(run, "file long, uri string, documents long, tokens long, bytes long"), "manifest")
