@@ -42,6 +42,12 @@ def step_hours(step: timedelta) -> float:
     return step.total_seconds() / 3600
 
 
+def with_extendable(table: DataFrame, component: str, settings: Mapping[str, bool]) -> DataFrame:
+    """Add the flag of a component's capacity expansion from the backend settings; off where they are silent."""
+    name = "s_nom_extendable" if component in ("line", "transformer") else "p_nom_extendable"
+    return table.withColumn(name, F.lit(bool(settings.get(component, False))))
+
+
 def bus_table(bus: DataFrame) -> DataFrame:
     """bus: uid, voltage_kv, current_type, x, y (representative point in degrees)."""
     return bus.select(

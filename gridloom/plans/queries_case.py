@@ -12,6 +12,7 @@ from .queries_spatial import LOAD_SQL, TILE
 from .registry import query, rounded
 
 SUMS, FLAGS = ["capital_cost"], ["vom"]
+EXPANSION = {"line": True, "generator": True, "converter": True, "storage": False}
 
 
 @query(
@@ -70,7 +71,7 @@ def bus_display_ids(t):
 @query(
     "converter_table",
     """SELECT concat('con:', CAST(s_suppkey AS VARCHAR(20))) AS uid, concat('bus:', CAST(s_suppkey AS VARCHAR(20))) AS bus0, concat('bus:', CAST(s_nationkey AS VARCHAR(20))) AS bus1,
-              CASE WHEN s_suppkey % 2 = 0 THEN round(abs(s_acctbal) + 1, 6) ELSE 3000.0E0 END AS p_nom, CASE WHEN s_suppkey % 3 = 0 THEN 0.9E0 ELSE 0.98E0 END AS efficiency, 'ac_dc_converter' AS carrier FROM supplier""",
+              CASE WHEN s_suppkey % 2 = 0 THEN round(abs(s_acctbal) + 1, 6) ELSE 3000.0E0 END AS p_nom, CASE WHEN s_suppkey % 3 = 0 THEN 0.9E0 ELSE 0.98E0 END AS efficiency, 'ac_dc_converter' AS carrier, true AS p_nom_extendable FROM supplier""",
 )
 def converter_table(t):
     k = F.col("s_suppkey")
@@ -83,7 +84,7 @@ def converter_table(t):
         F.struct(F.lit("efficiency").alias("name"), F.when(k % 3 == 0, 0.9).alias("value"), F.lit("p.u.").alias("unit")),
     )
     params = t.supplier.select(uid.alias("uid"), F.explode(rows).alias("p")).select("uid", "p.*")
-    return rounded(backend.converter_table(converters, params))
+    return rounded(backend.with_extendable(backend.converter_table(converters, params), "converter", EXPANSION))
 
 
 @query(
@@ -203,21 +204,23 @@ def availability_profiles(t):
     "line_table",
     """WITH b AS (SELECT e.uid, e.from_bus_uid, e.to_bus_uid, e.length_km - 1 AS len, CASE WHEN CAST(substr(e.uid, 3) AS BIGINT) % 8 = 0 THEN 'dc' ELSE 'ac' END AS cur, CAST(CAST(substr(e.uid, 3) AS BIGINT) % 3 + 1 AS DOUBLE) AS circuits,
               CASE CAST(substr(e.uid, 3) AS BIGINT) % 4 WHEN 0 THEN 0.02E0 WHEN 1 THEN 0.0E0 END AS r, CASE WHEN CAST(substr(e.uid, 3) AS BIGINT) % 5 = 0 THEN 9.0E0 END AS c FROM v_edge e)
-       SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, round(CASE WHEN r > 0 THEN r ELSE 0.03E0 END * greatest(len, 0.001E0), 9) AS r, round(0.3E0 * greatest(len, 0.001E0), 9) AS x, round(2 * pi() * 50 * coalesce(c, 0) * 1e-9 * len * 1e6, 9) AS b_micro, round(2000.0E0 * circuits, 9) AS s_nom FROM b WHERE cur = 'ac'""",
+       SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, round(CASE WHEN r > 0 THEN r ELSE 0.03E0 END * greatest(len, 0.001E0), 9) AS r, round(0.3E0 * greatest(len, 0.001E0), 9) AS x, round(2 * pi() * 50 * coalesce(c, 0) * 1e-9 * len * 1e6, 9) AS b_micro, round(2000.0E0 * circuits, 9) AS s_nom, true AS s_nom_extendable FROM b WHERE cur = 'ac'""",
 )
 def line_table(t):
     branch, parameter = _branch_case(t)
     lines, _ = backend.line_tables(branch, parameter)
-    return rounded(lines.select("uid", "bus0", "bus1", "r", "x", (F.col("b") * 1e6).alias("b_micro"), "s_nom"), 9)
+    lines = backend.with_extendable(lines, "line", EXPANSION)
+    return rounded(lines.select("uid", "bus0", "bus1", "r", "x", (F.col("b") * 1e6).alias("b_micro"), "s_nom", "s_nom_extendable"), 9)
 
 
 @query(
     "link_table",
-    """SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, 2000.0E0 * (CAST(substr(uid, 3) AS BIGINT) % 3 + 1) AS p_nom, -1.0E0 AS p_min_pu, 1.0E0 AS efficiency FROM v_edge WHERE CAST(substr(uid, 3) AS BIGINT) % 8 = 0""",
+    """SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, 2000.0E0 * (CAST(substr(uid, 3) AS BIGINT) % 3 + 1) AS p_nom, -1.0E0 AS p_min_pu, 1.0E0 AS efficiency, false AS p_nom_extendable FROM v_edge WHERE CAST(substr(uid, 3) AS BIGINT) % 8 = 0""",
 )
 def link_table(t):
     _, links = backend.line_tables(*_branch_case(t))
-    return rounded(links.select("uid", "bus0", "bus1", "p_nom", "p_min_pu", "efficiency"))
+    links = backend.with_extendable(links, "link", EXPANSION)
+    return rounded(links.select("uid", "bus0", "bus1", "p_nom", "p_min_pu", "efficiency", "p_nom_extendable"))
 
 
 def _branch_case(t):
@@ -253,11 +256,12 @@ def transformer_table(t):
               arg_min(value, struct_pack(o := selected_parameter_uid, v := value)) FILTER (WHERE name = 'vom' AND unit = 'EUR/MWh') AS vom, arg_min(value, struct_pack(o := selected_parameter_uid, v := value)) FILTER (WHERE name = 'fuel' AND unit = 'EUR/MWh_th') AS fuel,
               arg_min(value, struct_pack(o := selected_parameter_uid, v := value)) FILTER (WHERE name = 'ramp_up_pu_per_hour' AND unit = 'p.u./h') AS ramp, arg_min(value, struct_pack(o := selected_parameter_uid, v := value)) FILTER (WHERE name = 'capital_cost' AND unit = 'EUR/MW/year') AS cap FROM ap GROUP BY 1)
         SELECT g.uid, g.bus_uid AS bus, round(coalesce(g.capacity_mw, 0), 6) AS p_nom, CASE WHEN g.subclass IS NULL THEN g.class ELSE concat(g.class, ':', g.subclass) END AS carrier, round(CASE WHEN w.eff > 0 THEN w.eff ELSE 1 END, 6) AS efficiency,
-               round(coalesce(w.vom, 0) + coalesce(w.fuel, 0) / CASE WHEN w.eff > 0 THEN w.eff ELSE 1 END, 6) AS marginal_cost, 0.0E0 AS p_min_pu, round(coalesce(w.ramp, 1) * 2, 6) AS ramp_limit_up, 2.0E0 AS ramp_limit_down, false AS committable, round(coalesce(w.cap, 0), 6) AS capital_cost
+               round(coalesce(w.vom, 0) + coalesce(w.fuel, 0) / CASE WHEN w.eff > 0 THEN w.eff ELSE 1 END, 6) AS marginal_cost, 0.0E0 AS p_min_pu, round(coalesce(w.ramp, 1) * 2, 6) AS ramp_limit_up, 2.0E0 AS ramp_limit_down, false AS committable, round(coalesce(w.cap, 0), 6) AS capital_cost, true AS p_nom_extendable
         FROM v_generator g LEFT JOIN w ON w.uid = g.uid""",
 )
 def generator_table(t):
-    return rounded(backend.generator_table(t.v_generator, _asset_parameters(t), timedelta(hours=2), carbon_price=5.0))
+    table = backend.generator_table(t.v_generator, _asset_parameters(t), timedelta(hours=2), carbon_price=5.0)
+    return rounded(backend.with_extendable(table, "generator", EXPANSION))
 
 
 @query(
