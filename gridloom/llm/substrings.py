@@ -34,9 +34,10 @@ WIDTH, GRAM = 20, 4
 #: Bytes of text that are hashed at once and that make one set of blobs; buckets per shuffle partition.
 SLICE_BYTES = 2 << 20
 FLUSH_BYTES = 12 << 20
+HASH_BYTES = 1 << 19
 #: Rows of an Arrow batch that become Python objects at once.
 ROWS = 256
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 8
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -88,8 +89,17 @@ def clean_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_hashes(clean: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed(_rolled(clean.astype(np.uint64) + np.uint64(1), starts, ends) + (ends - starts).astype(np.uint64))
+    """Hashes of words, some HASH_BYTES of text at a time; they don't depend on where a word stands."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
+        low = starts[i]
+        part = clean[low : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            out[i:j] = _mixed(_rolled(part, starts[i:j] - low, ends[i:j] - low) + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
 
 
 def super_kmers(words: np.ndarray, first_of_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
