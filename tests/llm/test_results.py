@@ -298,3 +298,52 @@ def test_decontamination_tolerates_substitutions(spark):
         spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
     ).collect()
     assert {(r.doc_id, r.item_id) for r in got} <= {(k, k) for k in range(60)} and len(got) >= 58
+
+
+def test_secret_values_are_whole(spark):
+    rng = random.Random(5)
+    token = "".join(rng.choice("abcdXYZ0189_") for _ in range(600))
+    assert secrets.redact_text(f"auth: {token} end") == "auth: [SECRET] end"
+    assert secrets.redact_text(f"Authorization: Bearer {token} end") == "Authorization: Bearer [SECRET] end"
+    assert secrets.redact_text("password=abcdef123456!@#$tail%99 end") == "[SECRET] end"
+    assert secrets.redact_text("auth: xx!deadbeefdeadbeef!yy end") == "auth: [SECRET] end"
+    assert secrets.redact_text("login: password: hG7$kPz!9qLw2 end") == "login: password: [SECRET] end"
+    assert secrets.redact_text("password is required here") == "password is required here"
+    for value in ("z" * 20_000, "qw" * 10_000, "pass=" * 4_000, "xyzxyzxyw" * 2_000):
+        assert secrets.find_secrets(f"auth: {value}") in ([], [(6, 6 + len(value), 3)])
+    rows = [(i, "required words of ordinary prose") for i in range(9)] + [(10, "pwd: qzjxkvwmbh end"), (11, "auth: required end"), (12, "auth: requiredprose end")]
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[10], got[11], got[12]) == ("pwd: [SECRET] end", "auth: required end", "auth: requiredprose end")
+
+
+def test_guess_cost_is_the_cheapest_split():
+    """Against all splits at all places, and the stop at a threshold against the whole cost."""
+    import math
+
+    def brute(v):
+        low, best = v.lower(), [0.0] + [math.inf] * len(v)
+        pc = math.log10(secrets._classes(v))
+        for i in range(len(v)):
+            for j in range(i + 1, len(v) + 1):
+                part, cost = low[i:j], math.inf
+                for w in (part.translate(secrets.LEET), part):
+                    if w in secrets._RANK:
+                        odd = (v[i:j] != part) + (part.translate(secrets.LEET) != part)
+                        cost = min(cost, math.log10(secrets._RANK[part.translate(secrets.LEET)] if part.translate(secrets.LEET) in secrets._RANK else secrets._RANK[part]) + 0.6 + 0.5 * odd)
+                m = secrets._DATE.match(v, i)
+                if m and m.end() == j:
+                    cost = min(cost, 0.3 + math.log10(365 * 120))
+                if j - i >= 3 and all(x in secrets._NEXT for x in zip(part, part[1:])):
+                    cost = min(cost, 0.3 + math.log10(100) + math.log10(j - i))
+                for p in range(1, 9):
+                    if (j - i) % p == 0 and j - i >= 2 * p and all(v[x] == v[x - p] for x in range(i + p, j)):
+                        cost = min(cost, min(p * pc, 1.5 + p * pc * 0.9) + math.log10((j - i) // p))
+                best[j] = min(best[j], best[i] + (pc if j == i + 1 else cost))
+        return best[-1]
+
+    rng = random.Random(6)
+    for turn in range(400):
+        v = "".join(rng.choice(("ab", "qwert12", "abcABC019!@", "padminx2024-0117")[turn % 4]) for _ in range(rng.randint(1, 24)))
+        v += rng.choice(["", "password", "20240117", "abababab", "P@ssw0rd"])
+        want, got = brute(v), secrets.guess_log10(v, 11.0)
+        assert abs(secrets.guess_log10(v) - want) < 1e-9 and (abs(got - want) < 1e-9 or 11 <= got <= want + 1e-9)
