@@ -2,11 +2,14 @@
 
 One pass over the texts finds the base spans (e-mail, IP, card, phone by fixed formats and checks) and the
 candidates of high-recall generators, which overlap each other and the base spans. Boosted trees judge the
-candidates by format and context features. They learn from the corpus itself: a candidate that covers a base
-span, which passed its format check, is an example of personal data, one that doesn't is a counterexample;
-the features don't tell which format it was. The trees are fitted on at most SAMPLE_ROWS candidates, drawn by
-hash; half of these calibrate a threshold per generator, the lowest one whose precision on that half is at
-least PRECISION. Candidates above it that don't overlap a base span are added spans, the likelier one of two
+candidates by format and context features. They learn from the corpus itself: a candidate that meets a base
+span, which passed its format check, or the evidence of its own generator is an example of personal data, any
+other is a counterexample. Evidence is an e-mail address once the disguise is taken off, a number of 7 to 15
+digits behind a contact word, the IBAN check, and the shape of a MAC or IPv6 address. Half of the documents, by
+hash, are held out. The trees are fitted on at most SAMPLE_ROWS candidates of the others, the same number of each
+generator at most; all candidates of the held-out half calibrate a threshold per generator, the lowest one whose
+precision is at least PRECISION. A generator with fewer than LEAST_CALIBRATED of them takes the threshold of all
+generators together. Candidates above it that don't overlap a base span are added spans, the likelier one of two
 that overlap each other. Base spans are never changed.
 
 Only DataFrame functions and Spark's own trees are used. The texts are never shuffled; candidates are a small
@@ -40,7 +43,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS = (
     ("x_address", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(](?:at|@)[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++"),
     ("x_number", r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}+"),
-    ("x_code", r"(?<![A-Za-z0-9])[A-Z]{1,3}[0-9]{2}(?:\x20?[A-Z0-9]{3,4}){2,8}+(?![A-Za-z0-9])"),
+    ("x_code", r"(?<![A-Za-z0-9])[A-Z]{1,3}[0-9]{2}(?:\x20?[A-Z0-9]{3,4}){2,8}+(?:[A-Z0-9]{1,2}|\x20[0-9]{1,2}(?![A-Za-z0-9]))?+(?![A-Za-z0-9])"),
     ("x_colons", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}+(?![0-9A-Za-z:])"),
 )
 CONTEXT = 30
@@ -110,6 +113,37 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+CONTACT_WORD = r"(?i)(mail|e-mail|phone|tel|call|fax|mobile|contact)"
+
+
+def iban_ok(code: Column) -> Column:
+    """Remainder 1 of 97, with the first four characters last and letters as 10 to 35."""
+    plain = F.translate(code, " ", "")
+    turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
+    left = F.aggregate(
+        F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0),
+        lambda a, c: F.when(c.rlike("[0-9]"), F.pmod(a * 10 + F.coalesce(c.try_cast("int"), F.lit(0)), F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))).cast("int"),
+    )
+    return F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), left == 1).otherwise(F.lit(False))
+
+
+def evidence(generator: int, m: Column, before: Column) -> Column:
+    """Whether a candidate passes the check of its own generator."""
+    name = GENERATORS[generator][0]
+    if name == "x_address":
+        at = F.regexp_replace(m, r"\x20?[\[(](?:at|@)[\])]\x20?|\x20at\x20", "@")
+        plain = F.regexp_replace(at, r"\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20", ".")
+        return plain.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$") & plain.rlike(r"\.[A-Za-z]{2,24}$")
+    if name == "x_number":
+        return before.rlike(CONTACT_WORD) & F.length(F.regexp_replace(m, "[^0-9]", "")).between(7, 15)
+    if name == "x_code":
+        return iban_ok(m)
+    mac = m.rlike("^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}$")
+    full = m.rlike("^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$")
+    short = m.rlike("^[0-9A-Fa-f:]+$") & (F.length(m) - F.length(F.replace(m, F.lit("::"), F.lit(":"))) == 1)
+    return mac | full | short
+
+
 def _features(text: Column, generator: int):
     def make(x):
         m = x["m"]
@@ -125,11 +159,12 @@ def _features(text: Column, generator: int):
                 F.lit(float(generator)), F.length(m).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[^A-Za-z0-9]"),
                 F.size(groups).cast("double"), F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)).cast("double"), count("[.]"),
                 flag(F.contains(m, F.lit("@"))), F.size(F.array_distinct(F.split(m, ""))).cast("double"), flag(m.startswith("+")),
-                flag(before.rlike(r"(?i)(mail|e-mail|phone|tel|call|fax|mobile|contact)")), flag(before.rlike(r"(?i)(card|visa|iban|account|bank|pay)")),
+                flag(before.rlike(CONTACT_WORD)), flag(before.rlike(r"(?i)(card|visa|iban|account|bank|pay)")),
                 flag(before.rlike(r"(?i)\b(ssn|id|passport|license|user|name|ip|host|address|born)\b")), flag(before.rlike(r"[:=#]\s*[\"']?$")),
                 flag(before.rlike(r"[0-9][^A-Za-z]{0,3}$")), flag(after.rlike(r"^[^A-Za-z]{0,3}[0-9]")),
                 (F.length(near) - F.length(F.translate(near, "#*$%&|<>{}", ""))).cast("double"),
             ).alias("f"),
+            evidence(generator, m, before).alias("ok"),
         )
 
     return make
@@ -149,46 +184,58 @@ def _meets(spans: Column, s: Column, e: Column) -> Column:
 
 
 def candidates_of(scan: DataFrame) -> DataFrame:
-    """One row per candidate with its weak label."""
+    """One row per candidate, whether it meets a base span, and its weak label."""
     base = F.concat(*[F.col(k) for k in KINDS])
     rows = scan.where(F.size("candidates") > 0).select("row", base.alias("base"), F.explode("candidates").alias("c"))
-    flat = rows.select("row", "c.g", "c.s", "c.e", "c.f", _meets(F.col("base"), F.col("c.s"), F.col("c.e")).alias("known"))
-    return flat.select("row", "g", "s", "e", F.col("known").cast("double").alias("label"), *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
+    flat = rows.select("row", "c.g", "c.s", "c.e", "c.f", "c.ok", _meets(F.col("base"), F.col("c.s"), F.col("c.e")).alias("known"))
+    label = (F.col("known") | F.coalesce("ok", F.lit(False))).cast("double")
+    return flat.select("row", "g", "s", "e", "known", label.alias("label"), *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
+
+
+def _mark(bins: list[tuple[int, float, int]], least: int = LEAST_CALIBRATED) -> float | None:
+    """Lowest score from which precision is high enough."""
+    good, n, out = 0.0, 0, None
+    for b, x, k in sorted(bins, reverse=True):
+        good, n = good + x, n + k
+        if n >= least and good >= PRECISION * n:
+            out = b / 100
+    return out
 
 
-def calibrated(sample: DataFrame, model, assembler, score: Column) -> dict[int, float]:
-    """Lowest score per generator from which precision on the held-out half is high enough. At most 101 rows
-    per generator reach the driver."""
-    bins = model.transform(assembler.transform(sample)).groupBy("g", F.floor(score * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
-    per: dict[int, list] = {}
+def calibrated(held: DataFrame) -> dict[int, float]:
+    """Threshold per generator from all held-out candidates. At most 101 rows per generator reach the driver."""
+    bins = held.groupBy("g", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    per: dict[int, list] = {g: [] for g in range(len(GENERATORS))}
+    together: dict[int, list] = {}
     for r in bins.collect():
-        per.setdefault(r["g"], []).append((r["bin"], r["good"], r["n"]))
-    out = {}
-    for g, rows in per.items():
-        good = n = 0
-        for b, x, k in sorted(rows, reverse=True):
-            good, n = good + x, n + k
-            if n >= LEAST_CALIBRATED and good >= PRECISION * n:
-                out[g] = b / 100
-    return out
+        per[r["g"]].append((r["bin"], r["good"], r["n"]))
+        good, n = together.get(r["bin"], (0.0, 0))
+        together[r["bin"]] = (good + r["good"], n + r["n"])
+    common = _mark([(b, *x) for b, x in together.items()])
+    marks = {g: _mark(rows) if sum(n for *_, n in rows) >= LEAST_CALIBRATED else common for g, rows in per.items()}
+    return {g: t for g, t in marks.items() if t is not None}
 
 
 def judged(candidates: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
     """Candidates outside base spans that the calibrated trees select, or None where nothing can be learnt."""
+    candidates = written(candidates.withColumn("held", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(2)) == 1), "candidates")
     draw = F.xxhash64("row", "s", "e", "g", F.lit(SEED))
-    sample = written(candidates.orderBy(draw, "row", "s", "e", "g").limit(sample_rows).withColumn("held", F.pmod(F.xxhash64("row", "s"), F.lit(2)) == 1), "sample")
-    both = sample.groupBy("held").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").count()
-    if both < 2:
+    drawn = [
+        candidates.where((F.col("g") == g) & ~F.col("held")).orderBy(draw, "row", "s", "e").limit(sample_rows // len(GENERATORS)) for g in range(len(GENERATORS))
+    ]
+    sample = written(reduce(DataFrame.unionByName, drawn), "sample")
+    if sample.agg((F.min("label") < F.max("label")).alias("both")).first()["both"] is not True:
         return None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=8, maxDepth=4, seed=SEED, stepSize=0.3)
-    model = trees.fit(assembler.transform(sample.where("not held")))
-    score = vector_to_array("probability")[1]
-    marks = calibrated(sample.where("held"), model, assembler, score)
+    model = trees.fit(assembler.transform(sample))
+    scored = model.transform(assembler.transform(candidates)).select("row", "g", "s", "e", "known", "held", "label", vector_to_array("probability")[1].alias("score"))
+    scored = written(scored, "scored")
+    marks = calibrated(scored.where("held"))
     if not marks:
         return None
-    scored = model.transform(assembler.transform(candidates.where("label = 0"))).withColumn("score", score)
-    return scored.where(reduce(lambda a, b: a | b, [(F.col("g") == g) & (F.col("score") >= t) for g, t in marks.items()])).select("row", "g", "s", "e", "score")
+    chosen = reduce(lambda a, b: a | b, [(F.col("g") == g) & (F.col("score") >= t) for g, t in marks.items()])
+    return scored.where(~F.col("known") & chosen).select("row", "g", "s", "e", "score")
 
 
 def _best_of_overlaps(spans: Column) -> Column:

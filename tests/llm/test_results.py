@@ -347,3 +347,39 @@ def test_guess_cost_is_the_cheapest_split():
         v += rng.choice(["", "password", "20240117", "abababab", "P@ssw0rd"])
         want, got = brute(v), secrets.guess_log10(v, 11.0)
         assert abs(secrets.guess_log10(v) - want) < 1e-9 and (abs(got - want) < 1e-9 or 11 <= got <= want + 1e-9)
+
+
+def test_every_generator_adds_personal_data(spark):
+    rng = random.Random(7)
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+    byte = lambda: f"{rng.randrange(256):02x}"
+
+    def iban():
+        account = "".join(rng.choice("0123456789") for _ in range(18))
+        return f"DE{98 - int(account + '131400') % 97:02d}{account}"
+
+    kinds = {
+        "x_number": lambda: f"please call my phone: {number()} now", "x_address": lambda: f"write to john{rng.randint(1, 999)} [at] mail [dot] com today",
+        "x_code": lambda: f"the account: {iban()} pays", "x_colons": lambda: f"card of host {':'.join(byte() for _ in range(6))} answers",
+    }
+    rows = [(name, make()) for name, make in kinds.items() for _ in range(150)]
+    rows += [("none", f"part AB{rng.randint(10, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} of lot {rng.randint(10**7, 10**8)} ###") for _ in range(300)]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_spans(table).collect()}
+    found = Counter(name for i, (name, _) in enumerate(rows) if f"{name}:" in got[i])
+    assert all(found[name] >= 140 for name in kinds), found
+    assert sum("x_" in got[i] for i, (name, _) in enumerate(rows) if name == "none") <= 6
+
+
+def test_iban_check(spark):
+    rows = spark.createDataFrame([("DE89370400440532013000",), ("GB82 WEST 1234 5698 7654 32",), ("DE88370400440532013000",), ("AB12",)], "c string")
+    assert [r[0] for r in rows.select(pii.iban_ok(rows.c)).collect()] == [True, True, False, False]
+
+
+def test_planted_numbers_are_added(spark):
+    rng = random.Random(1)
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+    rows = [f"please call my phone: +1 {number()} today" for _ in range(300)] + [f"table row {rng.randint(10**7, 10**8)} | {rng.randint(10**7, 10**8)} ###" for _ in range(300)]
+    rows += [f"please call my phone: {number()} now" for _ in range(5)]
+    out = pii.personal_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(r.n_added == 1 for r in out if r.doc_id >= 600)
