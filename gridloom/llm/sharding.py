@@ -4,11 +4,12 @@ Documents with equal texts are linked. Every linked document starts with a shard
 In each round, documents move towards the shard that holds most of their neighbours. The links of a group of
 equal texts are complete, so the neighbours' shards of all its documents are one tally per (group, shard), an
 aggregate; the join of that tally with the documents is the propagation step, and no pair is ever made. A
-shard accepts movers up to its free quota: all of them, or that share of them which fits, chosen by hash.
+shard accepts movers up to its free quota and as many as leave it in the same round: all of them, or that share
+of them which fits, chosen by hash. A full shard therefore swaps documents with the others.
 Documents without links are indifferent and fill what is left, so that sizes end up even.
 
-The law is `rows`: shard sizes differ by at most one document. A group that is larger than half a shard is cut
-into parts of at most that size beforehand, as it has to be cut anyway. Loads and quotas are one row per shard.
+The law is `rows`: shard sizes differ by at most one document. Only a group that is larger than a
+shard is cut beforehand, into as few parts as fit. Loads and quotas are one row per shard.
 Slots are ranks in a shard, from ranks in hash buckets plus counts of the buckets before, so that a shard is
 never sorted as a whole. Only DataFrame functions are used, and texts stay in the first pass.
 
@@ -40,10 +41,9 @@ def hashed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def linked_rows(rows: DataFrame, capacity: int) -> DataFrame:
-    """(row, digest, part): documents with an equal one; large groups in parts of half a shard."""
+    """(row, digest, part): documents with an equal one; groups larger than a shard in as few parts as fit."""
     groups = rows.groupBy("digest").agg(F.count("*").alias("members")).where("members > 1")
-    half = max(1, capacity // 2)
-    part = F.pmod(F.xxhash64("row", F.lit(7)), F.ceil(F.col("members") / half)).cast("int")
+    part = F.pmod(F.xxhash64("row", F.lit(7)), F.ceil(F.col("members") / max(1, capacity))).cast("int")
     return rows.select("row", "digest").join(groups, "digest").select("row", "digest", part.alias("part"))
 
 
@@ -64,26 +64,50 @@ def _per_shard(df: DataFrame, column: str, value: Column, shards: int) -> list[i
     return out
 
 
+def _flows(wishes: DataFrame) -> dict[tuple[int, int], int]:
+    """Documents that ask to go from one shard to another; at most one row per pair of shards."""
+    return {(r["label"], r["target"]): int(r["n"]) for r in wishes.groupBy("label", "target").agg(F.sum("n").alias("n")).collect()}
+
+
+def _shares(free: list[int], asked: list[int], flows: dict[tuple[int, int], int], shards: int) -> list[float]:
+    """Share of the movers to each shard that fit into free places and those that the accepted movers leave.
+
+    Shares begin at one and fall to a fixed point, so what a shard counts on as leaving is accepted elsewhere.
+    """
+    share = [1.0 if a else 0.0 for a in asked]
+    for _ in range(50):
+        leaving = [0.0] * shards
+        for (source, target), n in flows.items():
+            leaving[source] += n * share[target]
+        lower = [min(x, (max(0, f + out) / a) if a else 0.0) for x, f, out, a in zip(share, free, leaving, asked)]
+        if lower == share:
+            break
+        share = lower
+    return share
+
+
 def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """(row, digest, part, label) after at most `rounds` rounds, or fewer when nothing moves any more."""
     shards = len(quotas)
     labels = written(linked.withColumn("label", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "labels")
     for turn in range(rounds):
-        free = [q - n for q, n in zip(quotas, _per_shard(labels, "label", F.count("*"), shards))]
+        loads = _per_shard(labels, "label", F.count("*"), shards)
+        free = [q - n for q, n in zip(quotas, loads)]
         tally = labels.groupBy("digest", "part", "label").agg(F.count("*").alias("n"))
         rank = F.struct(F.col("n"), F.xxhash64("digest", "part", "label"))
-        open_ = _chosen(F.col("label"), [f > 0 for f in free], False).alias("open")
+        # Every other round prefers shards with free places, so that groups whose own shard stays full gather there.
+        open_ = _chosen(F.col("label"), [turn % 2 == 0 or f > 0 for f in free], False).alias("open")
         best = tally.groupBy("digest", "part").agg(
             F.max_by("label", F.struct(open_, rank.alias("rank"))).alias("target"), F.max(F.struct(open_, rank.alias("rank"))).alias("top"),
-        ).select(F.col("digest").alias("__d"), F.col("part").alias("__p"), "target", F.col("top")["open"].alias("open"), F.col("top")["rank"].alias("rank"))
+        ).select(F.col("digest").alias("__d"), F.col("part").alias("__p"), "target")
         wishes = tally.join(best, (F.col("digest") == F.col("__d")) & (F.col("part") == F.col("__p"))).where(
-            F.col("open") & (F.col("label") != F.col("target")) & (rank < F.col("rank"))
+            F.col("label") != F.col("target")
         ).select("digest", "part", "label", "target", "n")
         wishes = written(wishes, "wishes")
         asked = _per_shard(wishes, "target", F.sum("n"), shards)
         if not any(asked):
             break
-        share = [min(1.0, max(0, f) / a) if a else 0.0 for f, a in zip(free, asked)]
+        share = _shares(free, asked, _flows(wishes), shards)
         wishes = wishes.select(F.col("digest").alias("__d"), F.col("part").alias("__p"), F.col("label").alias("__l"), "target")
         lot = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         moved = labels.join(wishes, (F.col("digest") == F.col("__d")) & (F.col("part") == F.col("__p")) & (F.col("label") == F.col("__l")), "left")

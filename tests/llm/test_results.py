@@ -383,3 +383,20 @@ def test_planted_numbers_are_added(spark):
     rows += [f"please call my phone: {number()} now" for _ in range(5)]
     out = pii.personal_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert all(r.n_added == 1 for r in out if r.doc_id >= 600)
+
+
+def test_shards_keep_groups_that_fit(spark):
+    groups = [300, 400, 490]
+    rows = [f"group {k}" for k, n in enumerate(groups) for _ in range(n)] + [f"own {i}" for i in range(2500 - sum(groups))]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in sharding.balanced_shards(table, 5).collect()}
+    assert all(len({got[i] for i, t in enumerate(rows) if t == f"group {k}"}) == 1 for k in range(3))
+
+
+def test_full_shards_swap(spark):
+    rows = [(i, f"group {i // 4}") for i in range(2000)]
+    got = {r.doc_id: r.shard for r in sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    sizes = Counter(got.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    kept = sum(got[a] == got[b] for g in range(0, 2000, 4) for a in range(g, g + 4) for b in range(a + 1, g + 4))
+    assert kept >= 0.8 * 500 * 6, kept
