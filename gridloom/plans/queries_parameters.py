@@ -55,6 +55,35 @@ def resolve_parameters(t):
     ))
 
 
+SCOPED_SQL = (
+    RESOLVE_SQL.replace("v_parameter", "v_scoped_parameter").replace("v_generator", "v_scope_target")
+    .replace("WHEN p.capacity_min_mw IS NOT NULL AND NOT (g.capacity_mw >= p.capacity_min_mw AND g.capacity_mw < p.capacity_max_mw)", "WHEN p.capacity_min_mw IS NOT NULL AND NOT (g.capacity_mw >= p.capacity_min_mw AND coalesce(g.capacity_mw < p.capacity_max_mw, true))")
+    .replace(
+        "     CASE WHEN p.selector_json <> '{}' AND g.status <> 'operating' THEN 'selector_mismatch:status' END]",
+        """     CASE WHEN p.status <> g.status THEN 'mismatch:status' END,
+     CASE WHEN len(p.voltage_kv) > 0 AND NOT coalesce(list_has_any(p.voltage_kv, g.voltage_kv), false) THEN 'mismatch:voltage_kv' END,
+     CASE WHEN p.scenario <> 'stress' THEN 'mismatch:scenario' END,
+     CASE WHEN p.location IS NOT NULL AND len(g.here) = 0 THEN 'missing_context:locations' WHEN p.location IS NOT NULL AND NOT list_contains(g.here, p.location) THEN 'mismatch:location' END,
+     CASE WHEN p.selector_json LIKE '%kv%' AND NOT g.kv >= 300 THEN 'selector_mismatch:kv' END,
+     CASE WHEN (p.selector_json LIKE '%["a","b"]%' AND NOT coalesce(g.phase IN ('a', 'b'), false)) OR (p.selector_json LIKE '%:"a"%' AND NOT coalesce(g.phase = 'a', false)) THEN 'selector_mismatch:phase' END]""",
+    )
+    .replace("CASE WHEN p.subclass IS NOT NULL THEN 'subclass' END, CASE WHEN p.cap", "CASE WHEN p.subclass IS NOT NULL THEN 'subclass' END, CASE WHEN p.status IS NOT NULL THEN 'status' END, CASE WHEN p.cap")
+    .replace("'capacity_mw' END,\n     CASE WHEN p.valid_from IS NOT NULL OR p.valid_to IS NOT NULL THEN 'valid_time' END, CASE WHEN p.selector_json <> '{}' THEN 'selector:status' END]", """'capacity_mw' END, CASE WHEN len(p.voltage_kv) > 0 THEN 'voltage_kv' END, CASE WHEN p.scenario IS NOT NULL THEN 'scenario' END, CASE WHEN p.location IS NOT NULL THEN 'location' END,
+     CASE WHEN p.valid_from IS NOT NULL OR p.valid_to IS NOT NULL THEN 'valid_time' END, CASE WHEN p.selector_json LIKE '%kv%' THEN 'selector:kv' END, CASE WHEN p.selector_json <> '{}' THEN 'selector:phase' END]""")
+    .replace("FROM v_scope_target g CROSS JOIN v_scoped_parameter p)", "FROM (SELECT *, list_distinct(list_filter([place, admin_uid], lambda x: x IS NOT NULL)) AS here FROM v_scope_target) g CROSS JOIN v_scoped_parameter p)")
+)
+
+
+@query("resolve_scoped_parameters", SCOPED_SQL)
+def resolve_scoped_parameters(t):
+    """Scopes of every column: voltages as sets, a scenario, locations, statuses and selectors of two keys."""
+    targets = t.v_scope_target.withColumn("locations", parameters.locations(F.col("place"), F.col("admin_uid"))).drop("place", "admin_uid")
+    d = parameters.resolve(targets, t.v_scoped_parameter, dataset_id="generator", at="2025", scenario="stress", source_priority=PRIORITY)
+    return rounded(d.select(
+        "target_uid", "name", "candidate_count", "eligible_count", "selected_parameter_uid", "value", "unit", "match_rank", "match_result", "match_info"
+    ))
+
+
 @query(
     "parameter_candidates",
     f"""WITH shape AS (SELECT min(uid) AS uid, class, status, CAST(NULL AS VARCHAR(5)) AS subclass, max(capacity_mw) AS capacity_mw FROM v_generator GROUP BY class, status), {JUDGE_SQL.replace('{targets}', 'shape')},

@@ -147,6 +147,25 @@ VIEWS: dict[str, str] = {
                concat('src', CAST(c_custkey % 3 AS VARCHAR(10))) AS source_id, CAST(c_custkey AS VARCHAR(20)) AS source_uid, '1' AS source_version,
                c_custkey % 6 = 0 AS is_derived, CASE WHEN c_custkey % 12 = 0 THEN 'fitted' ELSE NULL END AS derivation
         FROM customer""",
+    # the same records with scopes of status, voltage, scenario and location and selectors of two keys
+    "v_scoped_parameter": """
+        SELECT uid, name, "group", value, unit, applies_to_dataset, applies_to_uid, class, subclass,
+               CASE WHEN CAST(source_uid AS BIGINT) % 5 = 1 THEN 'operating' ELSE NULL END AS status, capacity_min_mw,
+               CASE WHEN CAST(source_uid AS BIGINT) % 8 = 4 THEN NULL ELSE capacity_max_mw END AS capacity_max_mw,
+               CASE CAST(source_uid AS BIGINT) % 6 WHEN 1 THEN array(220.0E0) WHEN 2 THEN array(220.0E0, 500.0E0) WHEN 3 THEN array(1000.0E0, 330.0E0, 500.0E0) ELSE NULL END AS voltage_kv,
+               CASE CAST(source_uid AS BIGINT) % 9 WHEN 2 THEN 'base' WHEN 5 THEN 'stress' ELSE NULL END AS scenario,
+               CASE WHEN CAST(source_uid AS BIGINT) % 11 = 3 THEN concat('nation:', CAST(CAST(source_uid AS BIGINT) % 25 AS VARCHAR(10))) ELSE NULL END AS location,
+               quality, observed_at, valid_from, valid_to,
+               CASE CAST(source_uid AS BIGINT) % 13 WHEN 1 THEN '{{"kv":{{"min":300}},"phase":["a","b"]}}' WHEN 2 THEN '{{"phase":"a"}}' ELSE '{{}}' END AS selector_json,
+               source_id, source_uid, source_version, is_derived, derivation
+        FROM v_parameter""",
+    "v_scope_target": """
+        SELECT uid, class, subclass, status, capacity_mw, admin_uid,
+               CASE CAST(substring(uid, 5) AS BIGINT) % 5 WHEN 0 THEN array(220.0E0) WHEN 1 THEN array(500.0E0, 220.0E0) WHEN 2 THEN array(330.0E0) WHEN 3 THEN array(110.0E0) ELSE NULL END AS voltage_kv,
+               CASE WHEN CAST(substring(uid, 5) AS BIGINT) % 10 = 6 THEN NULL ELSE concat('nation:', CAST(CAST(substring(uid, 5) AS BIGINT) % 25 AS VARCHAR(10))) END AS place,
+               CASE CAST(substring(uid, 5) AS BIGINT) % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE NULL END AS phase,
+               CASE WHEN CAST(substring(uid, 5) AS BIGINT) % 3 = 0 THEN 500.0E0 ELSE 220.0E0 END AS kv
+        FROM v_generator""",
     "v_dispatch": """
         SELECT CAST(date_trunc('hour', ts) AS {ntz}) AS time, CASE WHEN event_type IN ('signup', 'error') THEN 'storage' ELSE 'generator' END AS component,
                concat('unit:', CAST(user_id AS VARCHAR(20))) AS unit_uid, concat('bus:', CAST(user_id % 10 AS VARCHAR(10))) AS bus_uid,
@@ -188,7 +207,7 @@ def dependencies(sql: str) -> list[str]:
 
 def with_views(body: str) -> str:
     """DuckDB text: the needed views as common table expressions before the body."""
-    parts = [f"{v} AS ({VIEWS[v].format(ntz='TIMESTAMP')})" for v in dependencies(body)]
+    parts = [f"{v} AS ({VIEWS[v].format(ntz='TIMESTAMP').replace('array(', 'list_value(')})" for v in dependencies(body)]
     body = body.strip()
     recursive = body.upper().startswith("WITH RECURSIVE")
     if body.upper().startswith("WITH "):
