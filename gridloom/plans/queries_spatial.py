@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import cells, crosswalk, mapping, nearest, payloads, reports, skew, tiling
+from ..operators import cells, crosswalk, mapping, nearest, overlay, payloads, reports, skew, tiling
 from .registry import query, rounded
 
 TILE = 15.0
@@ -346,6 +346,41 @@ def level_priority(t):
     return cells.level_priority(units, ["province", "marine_zone"], 0.5)
 
 
+OVERLAY_SQL = """b AS (SELECT uid, CASE CAST(substr(uid, 5) AS BIGINT) % 2 WHEN 0 THEN 'province' ELSE 'marine_zone' END AS level, x0, y0, x1, y1 FROM v_block),
+            r AS (SELECT *, {layer} AS layer, row_number() OVER (ORDER BY {rank}) AS rk FROM b),
+            ex AS (SELECT layer, x, lead(x) OVER (PARTITION BY layer ORDER BY x) AS x2 FROM (SELECT layer, x0 AS x FROM r UNION SELECT layer, x1 FROM r)),
+            s AS (SELECT r.*, e.x AS sx, e.x2 AS sx2 FROM r JOIN ex e ON e.layer = r.layer AND e.x >= r.x0 AND e.x2 <= r.x1),
+            ey AS (SELECT layer, sx, y, lead(y) OVER (PARTITION BY layer, sx ORDER BY y) AS y2 FROM (SELECT layer, sx, y0 AS y FROM s UNION SELECT layer, sx, y1 FROM s)),
+            o AS (SELECT s.layer, s.sx, min(s.sx2) AS sx2, e.y, min(e.y2) AS y2, min(s.rk) AS rk FROM s JOIN ey e ON e.layer = s.layer AND e.sx = s.sx AND e.y >= s.y0 AND e.y2 <= s.y1 GROUP BY s.layer, s.sx, e.y),
+            k AS (SELECT rk, sum((sx2 - sx) * (y2 - y)) AS kept FROM o GROUP BY 1)
+       SELECT r.uid AS admin_uid, r.level, round((x1 - x0) * (y1 - y0), 5) AS own_area, round(coalesce(kept, 0), 5) AS kept_area FROM r LEFT JOIN k ON k.rk = r.rk"""
+
+
+def _levelled_blocks(t):
+    level = F.when(F.substring("uid", 5, 20).cast("long") % 2 == 0, "province").otherwise("marine_zone")
+    return t.v_block.select(F.col("uid").alias("admin_uid"), level.alias("level"), G.box_ring("x0", "y0", "x1", "y1").alias("ring"), F.lit(1).alias("sign"))
+
+
+def _with_kept(units, parts):
+    own = units.groupBy("admin_uid", "level").agg(F.sum(G.ring_area("ring") * F.col("sign")).alias("own_area"))
+    kept = parts.groupBy("admin_uid", "level").agg(F.sum("area").alias("kept_area"))
+    return rounded(own.join(kept, ["admin_uid", "level"], "left").fillna(0.0, ["kept_area"]), 5)
+
+
+@query("level_differences", "WITH " + OVERLAY_SQL.format(layer="'all'", rank="CASE level WHEN 'province' THEN 0 ELSE 1 END, uid"))
+def level_differences(t):
+    """Areas that stay with each unit when earlier levels, and smaller uids of its own level, are taken out."""
+    units = _levelled_blocks(t)
+    return _with_kept(units, overlay.level_differences(units, ["province", "marine_zone"], 6.0))
+
+
+@query("same_level_removal", "WITH " + OVERLAY_SQL.format(layer="level", rank="uid"))
+def same_level_removal(t):
+    """Areas that stay with each unit when overlaps inside its level are removed."""
+    units = _levelled_blocks(t)
+    return _with_kept(units, overlay.disjoint_units(units, 6.0, 100.0))
+
+
 @query(
     "dissolved_attributes",
     """SELECT concat('nation:', CAST(c_nationkey AS VARCHAR(10))) AS uid, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segment,
