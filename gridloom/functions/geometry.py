@@ -50,6 +50,11 @@ def ring_area(ring: ColumnLike) -> Column:
     return F.abs(_signed_area(col(ring)))
 
 
+def signed_ring_area(ring: ColumnLike) -> Column:
+    """Shoelace area, positive for counter-clockwise rings."""
+    return _signed_area(col(ring))
+
+
 def _signed_area(ring: Column) -> Column:
     cross = F.transform(
         ring,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import cells, crosswalk, mapping, nearest, overlay, payloads, reports, skew, tiling
+from ..operators import cells, crosswalk, dissolve, mapping, nearest, overlay, payloads, reports, skew, tiling
 from .registry import query, rounded
 
 TILE = 15.0
@@ -381,6 +381,44 @@ def same_level_removal(t):
     return _with_kept(units, overlay.disjoint_units(units, 6.0, 100.0))
 
 
+@query(
+    "dissolved_squares",
+    """WITH RECURSIVE sq AS (SELECT * FROM v_square),
+            e AS (SELECT grp, ix AS x, iy AS y, 0 AS d FROM sq s WHERE NOT EXISTS (SELECT 1 FROM sq o WHERE o.grp = s.grp AND o.ix = s.ix AND o.iy = s.iy - 1)
+                  UNION ALL SELECT grp, ix + 1, iy, 1 FROM sq s WHERE NOT EXISTS (SELECT 1 FROM sq o WHERE o.grp = s.grp AND o.ix = s.ix + 1 AND o.iy = s.iy)
+                  UNION ALL SELECT grp, ix + 1, iy + 1, 2 FROM sq s WHERE NOT EXISTS (SELECT 1 FROM sq o WHERE o.grp = s.grp AND o.ix = s.ix AND o.iy = s.iy + 1)
+                  UNION ALL SELECT grp, ix, iy + 1, 3 FROM sq s WHERE NOT EXISTS (SELECT 1 FROM sq o WHERE o.grp = s.grp AND o.ix = s.ix - 1 AND o.iy = s.iy)),
+            m AS (SELECT *, x + CASE d WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS tx, y + CASE d WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS ty FROM e),
+            nx AS (SELECT m.grp, m.x, m.y, m.d, m.tx, m.ty, arg_min(f.d, (f.d - m.d + 7) % 4 * -1) AS td FROM m JOIN e f ON f.grp = m.grp AND f.x = m.tx AND f.y = m.ty AND f.d <> (m.d + 2) % 4 GROUP BY ALL),
+            w AS (SELECT grp, x, y, d, x AS cx, y AS cy, d AS cd FROM e UNION SELECT w.grp, w.x, w.y, w.d, n.tx, n.ty, n.td FROM w JOIN nx n ON n.grp = w.grp AND n.x = w.cx AND n.y = w.cy AND n.d = w.cd),
+            l AS (SELECT grp, x, y, d, min((cx * 100000 + cy) * 4 + cd) AS ring FROM w GROUP BY 1, 2, 3, 4),
+            r AS (SELECT grp, ring, sum(CASE d WHEN 1 THEN x WHEN 3 THEN -x ELSE 0 END) AS a, count(*) AS p FROM l GROUP BY 1, 2)
+       SELECT grp, count(*) FILTER (WHERE a > 0) AS outer_rings, count(*) FILTER (WHERE a < 0) AS holes, CAST(sum(a) AS DOUBLE) AS area, CAST(sum(p) AS DOUBLE) AS perimeter FROM r GROUP BY 1""",
+)
+def dissolved_squares(t):
+    """Rings, area and perimeter of the union of the squares of each group."""
+    x, y = F.col("ix").cast("double"), F.col("iy").cast("double")
+    parts = t.v_square.select(F.col("grp").alias("key"), G.box_ring(x, y, x + 1, y + 1).alias("ring"), F.lit(1).alias("sign"))
+    d = dissolve.dissolved(parts, 1.0)
+    return rounded(d.groupBy(F.col("key").alias("grp")).agg(
+        F.count_if(F.col("sign") > 0).alias("outer_rings"), F.count_if(F.col("sign") < 0).alias("holes"),
+        F.sum(F.col("area") * F.col("sign")).alias("area"), F.sum("perimeter").alias("perimeter"),
+    ))
+
+
+@query(
+    "background_outline",
+    """WITH a AS (SELECT level, x0, y0 FROM v_admin)
+       SELECT level AS spatial_level, CAST(count(*) * 400 AS DOUBLE) AS area,
+              CAST(sum(20 * (4 - (SELECT count(*) FROM a o WHERE o.level = a.level AND abs(o.x0 - a.x0) + abs(o.y0 - a.y0) = 20))) AS DOUBLE) AS perimeter FROM a GROUP BY 1""",
+)
+def background_outline(t):
+    """Outline of the cells of each level: cells of different size meet along parts of their sides."""
+    parts = t.v_cell.select("admin_uid", "spatial_level", G.box_ring("x0", "y0", "x1", "y1").alias("ring"), F.lit(1).alias("sign"))
+    d = dissolve.background_outline(parts, 5.0)
+    return rounded(d.groupBy("spatial_level").agg(F.sum(F.col("area") * F.col("sign")).alias("area"), F.sum("perimeter").alias("perimeter")))
+
+
 @query(
     "dissolved_attributes",
     """SELECT concat('nation:', CAST(c_nationkey AS VARCHAR(10))) AS uid, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segment,

@@ -166,6 +166,12 @@ VIEWS: dict[str, str] = {
                CASE CAST(substring(uid, 5) AS BIGINT) % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE NULL END AS phase,
                CASE WHEN CAST(substring(uid, 5) AS BIGINT) % 3 = 0 THEN 500.0E0 ELSE 220.0E0 END AS kv
         FROM v_generator""",
+    # unit squares of five groups on a lattice that grows with the customers
+    "v_square": """
+        SELECT DISTINCT concat('group:', CAST(c_custkey % 5 AS VARCHAR(5))) AS grp,
+               (c_custkey * 7919) % (SELECT CAST(floor(sqrt(count(*) * 0.6E0)) AS BIGINT) + 1 FROM customer) AS ix,
+               CAST(floor(c_custkey / 5.0E0) AS BIGINT) % (SELECT CAST(floor(sqrt(count(*) * 0.6E0)) AS BIGINT) + 1 FROM customer) AS iy
+        FROM customer""",
     "v_dispatch": """
         SELECT CAST(date_trunc('hour', ts) AS {ntz}) AS time, CASE WHEN event_type IN ('signup', 'error') THEN 'storage' ELSE 'generator' END AS component,
                concat('unit:', CAST(user_id AS VARCHAR(20))) AS unit_uid, concat('bus:', CAST(user_id % 10 AS VARCHAR(10))) AS bus_uid,

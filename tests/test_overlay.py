@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import overlay
+from gridloom.operators import dissolve, overlay
 
 SCHEMA = "admin_uid string, level string, ring array<struct<x:double,y:double>>, sign int"
 
@@ -72,3 +72,37 @@ def test_crowded_and_stacked_tiles(spark, monkeypatch):
     rows += [(f"v{i:04d}", "p", box(0, 0, 20, 20), 1) for i in range(300)]
     got = areas(overlay.disjoint_units(units(spark, *rows), 20.0, 500.0))
     assert len(got) == 400 and all(a == pytest.approx(1.0) for a in got.values())
+
+
+def rings(df):
+    return sorted((r.key, r.sign, round(r.area, 9), round(r.perimeter, 9), len(r.ring)) for r in df.collect())
+
+
+def test_dissolve_cancels_shared_edges(spark):
+    """Parts of different size share pieces of edges; holes stay; parts that touch in a point stay apart."""
+    rows = [("a", box(0, 0, 2, 2), 1), ("a", box(2, 0, 3, 1), 1), ("a", box(2, 1, 3, 2), 1), ("b", box(0, 0, 1, 1), 1), ("b", box(1, 1, 2, 2), 1)]
+    rows += [("c", box(i % 5, i // 5, i % 5 + 1, i // 5 + 1)[:: 1 if i % 2 else -1], 1) for i in range(25) if i not in (6, 12)]
+    rows += [("d", box(0, 0, 9, 9), 1), ("d", box(3, 3, 6, 6), -1)]
+    parts = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in r], s) for k, r, s in rows], "key string, ring array<struct<x:double,y:double>>, sign int")
+    want = [("a", 1, 6.0, 10.0, 4), ("b", 1, 1.0, 4.0, 4), ("b", 1, 1.0, 4.0, 4), ("d", -1, 9.0, 12.0, 4), ("d", 1, 81.0, 36.0, 4)]
+    for tile in (0.8, 50.0):
+        got = rings(dissolve.dissolved(parts, tile))
+        assert [g for g in got if g[0] != "c"] == want
+        assert sum(g[1] * g[2] for g in got if g[0] == "c") == 23.0 and sum(g[3] for g in got if g[0] == "c") == 28.0
+    assert dissolve.dissolved(parts.limit(0), 1.0).count() == 0
+
+
+def test_dissolve_of_slanted_pieces(spark):
+    """Overlay pieces of a triangle dissolve to the triangle again."""
+    unit = units(spark, ("t", "p", [(0, 0), (8, 0), (0, 8)], 1))
+    parts = overlay.disjoint_units(unit, 2.0, 0.0).select("level", "ring", F.lit(1).alias("sign")).withColumnRenamed("level", "key")
+    got = rings(dissolve.dissolved(parts, 2.0))
+    assert sum(g[2] * g[1] for g in got) == pytest.approx(32.0)
+
+
+def test_long_ring(spark):
+    """A comb of 400 teeth is one ring: the number of rounds is the number of binary digits of its length."""
+    rows = [("k", [{"x": float(x), "y": float(y)} for x, y in box(i, 0, i + 1, 1 + i % 2)], 1) for i in range(400)]
+    parts = spark.createDataFrame(rows, "key string, ring array<struct<x:double,y:double>>, sign int")
+    (r,) = dissolve.dissolved(parts, 1.0).collect()
+    assert (r.sign, r.area, len(r.ring)) == (1, 600.0, 802) and r.perimeter == 400 + 400 + 1 + 2 + 399
