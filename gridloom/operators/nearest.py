@@ -1,6 +1,7 @@
-"""Exact nearest-object search as a level-by-level descent over a grid pyramid.
+"""Exact nearest-object search: rings of neighbour cells for points (see `rings`), and for boxes and segments
+a level-by-level descent over a grid pyramid.
 
-The right side is indexed on nested grids (8 x 8 children per cell). Every left object keeps only
+In the descent the right side is indexed on nested grids (8 x 8 children per cell). Every left object keeps only
 the cells that can still hold its nearest partner: a cell survives while its smallest possible
 distance does not exceed the best guaranteed distance seen so far. Each level is one equi-join on
 the parent cell, so neither a dense cell nor a popular target is ever paired with everything, and
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..session import cut_lineage
+from .rings import nearest_positions
 
 FAN = 8
 LEAF = 16
@@ -147,26 +149,6 @@ def nearest_points(left: DataFrame, right: DataFrame, partition: str | None = No
     )
 
 
-def nearest_positions(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct positions (part, x, y) to nearest distinct positions: part, x, y, rx, ry, distance."""
-    pos = lambda df: F.struct("x", "y")
-    l = left.select(
-        pos(left).alias("lid"), "part",
-        F.col("x").alias("l_x0"), F.col("y").alias("l_y0"), F.col("x").alias("l_x1"), F.col("y").alias("l_y1"),
-        F.col("x").alias("l_ax"), F.col("y").alias("l_ay"),
-    )
-    r = right.select(
-        pos(right).alias("rid"), "part",
-        F.col("x").alias("r_x0"), F.col("y").alias("r_y0"), F.col("x").alias("r_x1"), F.col("y").alias("r_y1"),
-    )
-    out = nearest_objects(
-        l, r, lambda: F.hypot(F.col("lid.x") - F.col("rid.x"), F.col("lid.y") - F.col("rid.y"))
-    )
-    return out.select(
-        "part", "lid.x", "lid.y", F.col("rid.x").alias("rx"), F.col("rid.y").alias("ry"), "distance"
-    )
-
-
 def nearest_boxes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Nearest right boxes (rid, x0…y1) of left boxes (lid, x0…y1); points are boxes of no size."""
     names = ("x0", "y0", "x1", "y1")
