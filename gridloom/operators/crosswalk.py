@@ -13,7 +13,6 @@ from ..session import cut_lineage
 from .nearest import nearest_boxes
 from .skew import first_per_key, require_none, with_group_totals
 from .tiling import BOX, overlap_pairs
-from .timeseries import _axis
 
 
 def point_support(points: DataFrame, width: float, height: float) -> DataFrame:
@@ -181,35 +180,37 @@ def apply_weights(series: DataFrame, weights: DataFrame, value: str) -> DataFram
     )
 
 
-def fill_cells(
-    mapped: DataFrame, cells: DataFrame, covered: DataFrame, value: str, step: timedelta,
-    auxiliary: DataFrame | None = None,
-) -> DataFrame:
-    """Complete the cell dimension: exactly 0 where the auxiliary value is 0, null where uncovered.
+def series_axis(series: DataFrame, weights: DataFrame) -> DataFrame:
+    """(time, class) of the rows that reach a cell, from two columns of the series and no product with weights."""
+    reached = weights.select(F.col("source_uid").alias("uid")).distinct()
+    return cut_lineage(series.join(reached, "uid", "left_semi").select("time", "class").distinct())
 
-    Only cells without mapped values are filled, by exploding the calendar and the class list per
-    cell and keeping the timestamps that the mapped series has.
-    """
-    ends = mapped.agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.collect_set("class").alias("classes")).first()
-    names, axis = cells.select("spatial_uid").distinct(), mapped.select("time").distinct()
+
+def coverage_mask(cells: DataFrame, covered: DataFrame, auxiliary: DataFrame | None) -> DataFrame:
+    """(spatial_uid, fill) of the cells that get no product: exactly 0 where the auxiliary value is 0, null
+    where no source covers a cell."""
+    found = covered.select("spatial_uid").distinct().withColumn("__covered", F.lit(True))
+    mask = cells.select("spatial_uid").distinct().join(found, "spatial_uid", "left")
+    zero = F.lit(False)
     if auxiliary is not None:
-        zero = auxiliary.where("weight <= 0").select("spatial_uid")
-        mapped = mapped.join(zero, "spatial_uid", "left_anti")
-        empty = names.join(zero, "spatial_uid", "left_semi").withColumn("__fill", F.lit(0.0))
-        blank = names.join(zero, "spatial_uid", "left_anti").join(covered.select("spatial_uid").distinct(), "spatial_uid", "left_anti")
-        empty = empty.unionByName(blank.withColumn("__fill", F.lit(None).cast("double")))
-    else:
-        empty = names.join(covered.select("spatial_uid").distinct(), "spatial_uid", "left_anti").withColumn(
-            "__fill", F.lit(None).cast("double")
-        )
+        empty = auxiliary.where("weight <= 0").select("spatial_uid").distinct().withColumn("__zero", F.lit(True))
+        mask, zero = mask.join(empty, "spatial_uid", "left"), F.coalesce("__zero", F.lit(False))
+    return mask.where(zero | F.col("__covered").isNull()).select("spatial_uid", F.when(zero, F.lit(0.0)).alias("fill"))
+
+
+def fill_cells(mapped: DataFrame, mask: DataFrame, axis: DataFrame, value: str, step: timedelta) -> DataFrame:
+    """Complete the cell dimension with the mask's cells, for every time and class of the axis.
+
+    A cell explodes the calendar from the first to the last time and keeps the times that the axis has.
+    """
+    ends = axis.agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.array_sort(F.collect_set("class")).alias("classes"))
+    ends = ends.where("lo IS NOT NULL").withColumn("__one", F.lit(1))
+    calendar = mask.withColumn("__one", F.lit(1)).join(ends, "__one")
+    stamps = F.sequence(F.col("lo"), F.col("hi"), F.expr(f"INTERVAL {int(step.total_seconds())} SECOND"))
     filled = (
-        empty.select("spatial_uid", "__fill", _axis(ends["lo"], ends["hi"], step).alias("time"))
-        .join(axis, "time", "left_semi")
-        .select(
-            "time", "spatial_uid",
-            F.explode(F.array(*[F.lit(c) for c in sorted(ends["classes"])])).alias("class"),
-            F.col("__fill").alias(value),
-        )
+        calendar.select("spatial_uid", "fill", "classes", F.explode(stamps).alias("time"))
+        .join(axis.select("time").distinct(), "time", "left_semi")
+        .select("time", "spatial_uid", F.explode("classes").alias("class"), F.col("fill").alias(value))
     )
     return mapped.select("time", "spatial_uid", "class", value).unionByName(filled)
 
@@ -240,8 +241,10 @@ def map_series_to_cells(
     weights = cut_lineage(weights)
     if quantity == "extensive":
         require_conservative(weights, source_boxes, tolerance)
-    mapped = apply_weights(series, weights, value)
-    return fill_cells(mapped, cells, pairs, value, step, auxiliary if method == "auxiliary" else None)
+    # Cells that the mask fills take no part in the product, so series and weights meet once.
+    mask = cut_lineage(coverage_mask(cells, pairs, auxiliary if method == "auxiliary" else None))
+    mapped = apply_weights(series, weights.join(mask, "spatial_uid", "left_anti"), value)
+    return fill_cells(mapped, mask, series_axis(series, weights), value, step)
 
 
 def conservation_error(before: DataFrame, after: DataFrame, value: str) -> DataFrame:

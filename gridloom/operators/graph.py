@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,29 +154,101 @@ def component_classes(nodes: DataFrame, edges: DataFrame, src: str, dst: str) ->
     )
 
 
-def spread_from_seeds(seeds: DataFrame, incidence: DataFrame) -> DataFrame:
-    """First-come propagation over shared nodes, breadth first.
+def first_reach(seeds: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Breadth-first propagation over shared nodes: (uid, seed, hop) of every reached line.
 
-    seeds: uid of lines that start with a value. incidence: (uid, node) of all lines. Returns every
-    reached line with its path from the seed (`path[0]` is the reference). The smallest path per
-    line reproduces queue order with ties by uid. Lines meet through their nodes in two joins, so a
+    seeds: uid of lines that start with a value. incidence: (uid, node) of all lines. The fewest hops decide,
+    then the smallest seed, which is the order of a queue. Lines meet through their nodes in two joins, so a
     node shared by many lines never produces all its line pairs.
+
+    Runs of lines that meet one line on each side are contracted by pointer doubling, so a chain of n lines takes
+    log(n) rounds. The rounds that remain count junctions, and each of them adds only the lines it improves.
     """
     incidence = cut_lineage(incidence.distinct())
-    reached = cut_lineage(seeds.select("uid", F.array("uid").alias("path")))
-    frontier = reached
+    seeds = seeds.select("uid").distinct()
+    darts = _darts(seeds, incidence)
+    chain = darts.select("uid").distinct()
+    ends = _run_ends(darts)
+    edges = ends.groupBy("uid").agg(F.count("*").alias("n"), F.min(F.struct("end", "steps")).alias("a"), F.max(F.struct("end", "steps")).alias("b"))
+    edges = edges.where("n = 2").select(F.col("a.end").alias("a"), F.col("b.end").alias("b"), (F.col("a.steps") + F.col("b.steps")).alias("steps")).distinct()
+    edges = cut_lineage(edges.union(edges.select("b", "a", "steps")).distinct())
+    open_lines = cut_lineage(incidence.join(chain, "uid", "left_anti"))
+    frontier = cut_lineage(seeds.select("uid", F.struct(F.lit(0).cast("long").alias("hop"), F.col("uid").alias("seed")).alias("r")))
+    tables = [frontier]
     while True:
-        at_node = frontier.join(incidence, "uid").groupBy("node").agg(F.min("path").alias("path"))
-        step = (
-            incidence.join(at_node, "node")
-            .join(reached.select("uid"), "uid", "left_anti")
-            .groupBy("uid").agg(F.min("path").alias("path"))
-            .select("uid", F.concat("path", F.array("uid")).alias("path"))
-        )
-        frontier = cut_lineage(step)
+        at_node = frontier.join(open_lines, "uid").groupBy("node").agg(F.min("r").alias("r"))
+        further = lambda steps: F.struct((F.col("r.hop") + steps).alias("hop"), F.col("r.seed").alias("seed")).alias("r")
+        step = open_lines.join(at_node, "node").select("uid", further(1)).union(
+            frontier.join(edges, F.col("uid") == F.col("a")).select(F.col("b").alias("uid"), further(F.col("steps")))
+        ).groupBy("uid").agg(F.min("r").alias("r"))
+        known = reduce(DataFrame.unionByName, tables).groupBy("uid").agg(F.min("r").alias("old"))
+        frontier = cut_lineage(step.join(known, "uid", "left").where(F.col("old").isNull() | (F.col("r") < F.col("old"))).select("uid", "r"))
         if frontier.isEmpty():
-            return reached
-        reached = cut_lineage(reached.union(frontier))
+            break
+        tables.append(frontier)
+        if len(tables) == 8:
+            tables = [cut_lineage(reduce(DataFrame.unionByName, tables).groupBy("uid").agg(F.min("r").alias("r")))]
+    reached = reduce(DataFrame.unionByName, tables).groupBy("uid").agg(F.min("r").alias("r"))
+    inner = ends.join(reached.withColumnRenamed("uid", "end"), "end").groupBy("uid").agg(
+        F.min(F.struct((F.col("r.hop") + F.col("steps")).alias("hop"), F.col("r.seed").alias("seed"))).alias("r")
+    )
+    return reached.unionByName(inner).select("uid", "r.seed", "r.hop")
+
+
+def _darts(seeds: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Lines inside a run, once per node that they can be left through: (uid, exit, entry, to).
+
+    Such a line is no seed, and exactly two of its nodes hold one other line each, the rest none.
+    """
+    nodes = incidence.groupBy("node").agg(F.count("*").alias("lines"), F.min("uid").alias("a"), F.max("uid").alias("b"))
+    met = incidence.join(nodes.where("lines > 1"), "node")
+    # A line that is met often has many nodes; only the two of a run are kept.
+    per_line = met.groupBy("uid").agg(F.count("*").alias("meets"), F.max("lines").alias("most"), F.min("node").alias("p"), F.max("node").alias("q"))
+    inner = per_line.where("meets = 2 AND most = 2").join(seeds, "uid", "left_anti").select("uid", "p", "q")
+    both = F.explode(F.array(F.struct(F.col("p").alias("exit"), F.col("q").alias("entry")), F.struct(F.col("q").alias("exit"), F.col("p").alias("entry"))))
+    sides = inner.withColumn("s", both).select("uid", "s.exit", "s.entry")
+    other = F.when(F.col("a") == F.col("uid"), F.col("b")).otherwise(F.col("a"))
+    return cut_lineage(sides.join(nodes.select(F.col("node").alias("exit"), "a", "b"), "exit").select("uid", "exit", "entry", other.alias("to")))
+
+
+def _run_ends(darts: DataFrame) -> DataFrame:
+    """(uid, end, steps): for each side of a line inside a run, the line at the run's end and the hops to it.
+
+    Runs that close to a circle have no end and drop out.
+    """
+    onward = darts.select(F.col("uid").alias("to"), F.col("entry").alias("exit"), F.col("exit").alias("after"))
+    state = darts.join(onward, ["to", "exit"], "left").select("uid", "exit", "to", "after", F.lit(1).cast("long").alias("steps"))
+    state = cut_lineage(state)
+    done = []
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        done.append(state.where("after IS NULL").select("uid", F.col("to").alias("end"), "steps", "exit"))
+        going = state.where("after IS NOT NULL")
+        if going.isEmpty():
+            break
+        ahead = state.select(F.col("uid").alias("to"), F.col("exit").alias("after"), F.col("to").alias("far"), F.col("after").alias("then"), F.col("steps").alias("more"))
+        state = cut_lineage(going.join(ahead, ["to", "after"]).select("uid", "exit", F.col("far").alias("to"), F.col("then").alias("after"), (F.col("steps") + F.col("more")).alias("steps")).unionByName(state.where("after IS NULL")))
+    # The finished sides travel along, so the last table holds all of them.
+    return done[-1].select("uid", "end", "steps")
+
+
+def spread_from_seeds(seeds: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Every reached line with its path from the seed (`path[0]` is the reference).
+
+    A line's parent is the smallest line of the hop before it and of the same seed. Paths are rebuilt from
+    these pointers by doubling, in as many joins as the longest path has binary digits.
+    """
+    incidence = cut_lineage(incidence.distinct())
+    reached = cut_lineage(first_reach(seeds, incidence))
+    at_node = reached.join(incidence, "uid").groupBy("node", "seed", (F.col("hop") + 1).alias("hop")).agg(F.min("uid").alias("parent"))
+    parents = reached.where("hop > 0").join(incidence, "uid").join(at_node, ["node", "seed", "hop"]).groupBy("uid").agg(F.min("parent").alias("at"))
+    # `path` holds the lines from behind `at` to the line itself.
+    state = cut_lineage(reached.select("uid").join(parents, "uid", "left").select("uid", "at", F.array("uid").alias("path")))
+    while not state.where("at IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("uid").alias("at"), F.col("at").alias("next"), F.col("path").alias("before"))
+        state = cut_lineage(state.join(ahead, "at", "left").select(
+            "uid", F.col("next").alias("at"), F.when(F.col("before").isNotNull(), F.concat("before", "path")).otherwise(F.col("path")).alias("path")
+        ))
+    return state.select("uid", "path")
 
 
 def path_lengths(edges: DataFrame, start: str, max_hops: int | None = None) -> DataFrame:

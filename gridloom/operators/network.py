@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..session import cut_lineage
-from .graph import connected_components, degrees, endpoints, spread_from_seeds
+from .graph import connected_components, degrees, endpoints, first_reach
 from .mapping import nearest_polygons
 from .nearest import nearest_points, nearest_segments
 from .skew import duplicates, first_per_key, require_none, with_next, with_running_max
@@ -101,8 +101,8 @@ def resolve_line_voltages(
     """
     known = source_voltages(lines)
     seeds = known.where(F.size("voltage_values") > 0).select("uid")
-    reached = spread_from_seeds(seeds, refs.select("uid", "node").join(lines.select("uid"), "uid", "left_semi"))
-    origin = reached.select("uid", F.col("path")[0].alias("ref"))
+    reached = first_reach(seeds, refs.select("uid", "node").join(lines.select("uid"), "uid", "left_semi"))
+    origin = reached.select("uid", F.col("seed").alias("ref"))
     values = known.select(F.col("uid").alias("ref"), F.col("voltage_values").alias("ref_values"))
     out = _borrow(known, origin.where("uid <> ref").join(values, "ref"), "inferred_nearest_connected_line")
     if segments is not None:

@@ -90,12 +90,13 @@ def nearest_positions(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Left positions whose partition has no right position are absent.
     """
-    grids = cut_lineage(_grids(right))
+    right = cut_lineage(right)
+    grids = _grids(right)
     most = grids.agg(F.max("n")).first()[0]
     if not most:
         return left.limit(0).select(*SELF, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("x").alias("distance"))
     grids = grids.select("part", *GRID)
-    placed = cut_lineage(right.join(grids, "part"))
+    placed = right.join(grids, "part")
     depth = _depth(placed, most)
     leaves = placed.select("part", _cell("x", depth).alias("cx"), _cell("y", depth).alias("cy"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     asked = left.join(grids, "part").select(*SELF, *GRID)
@@ -107,9 +108,9 @@ def nearest_positions(left: DataFrame, right: DataFrame) -> DataFrame:
     near = first.where("NOT final").select(*SELF, *GRID, F.col("distance").alias("reach"))
     more = _around(near, depth, 3).where(_gap(depth) <= _within("reach")).join(leaves, ["part", "cx", "cy"])
     out = _unfolded(done).unionByName(_unfolded(_best(more)))
-    empty = cut_lineage(asked.join(first.select(*SELF), [*SELF], "left_anti"))
+    empty = asked.join(first.select(*SELF), [*SELF], "left_anti")
     if depth and not empty.isEmpty():
-        out = out.unionByName(_unfolded(_best(_followed(empty, placed, depth).join(leaves, ["part", "cx", "cy"]))))
+        out = out.unionByName(_unfolded(_best(_followed(cut_lineage(empty), placed, depth).join(leaves, ["part", "cx", "cy"]))))
     elif not depth:
         out = out.unionByName(_unfolded(_best(empty.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}).join(leaves, ["part", "cx", "cy"]))))
     return out

@@ -18,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 EQUAL = ("applies_to_uid", "class", "subclass", "status")
 TARGET = {"applies_to_uid": "t_uid", "class": "t_class", "subclass": "t_subclass", "status": "t_status"}
 LOCATION, VOLTAGE, CAPACITY = 4, 5, 6
 #: Grid steps per doubling of 1 + |capacity|, levels of its dyadic tree, and the room of a level.
 STEPS, LEVELS, ROOM = 1024, 18, 2**18
 MIDDLE = 2**16
+#: Rows of a table of scopes or keys up to which it is broadcast, after it was counted.
+SMALL = 50_000
 
 
 def slot(capacity: Column) -> Column:
@@ -88,31 +92,45 @@ def _exploded(df: DataFrame, k: int, values: Column, kind: str, name: str) -> Da
 
 
 def _keyed(df: DataFrame, equal: list[Column]) -> DataFrame:
-    """Add the hash of the values in the pattern's columns. Equal hashes of other values are told apart later."""
+    """Add the hash of the values in the pattern's columns but for the capacity. Equal hashes of other values are
+    told apart later."""
     own = [F.when(_bit(k), c.cast("string")) for k, c in enumerate(equal)]
-    return df.withColumn("__key", F.xxhash64(F.col("__pattern"), *own, "__place", "__level", "__node"))
+    return df.withColumn("__key", F.xxhash64("name", "__pattern", *own, "__place", "__level")).drop("__place")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table of few rows, by its count; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def fitting_pairs(targets: DataFrame, scopes: DataFrame) -> DataFrame:
     """Pairs of targets and scopes of one name that agree in all of the scope's columns.
 
-    targets: name, patterns (array of the name's patterns) and t_<target> columns; scopes: name and s_<scope>.
+    targets: name, patterns (array of the name's patterns) and t_<target> columns; scopes: tier, name and s_<scope>.
+    Targets first meet the distinct keys that scopes have, and only those that do ask for capacity nodes, on the
+    levels that occur under their key.
     """
+    offered = scopes.withColumn("__pattern", pattern())
+    offered = _exploded(offered, LOCATION, F.array("s_location"), "string", "__place")
+    offered = _exploded(offered, VOLTAGE, F.array_distinct("s_voltage_kv"), "double", "__level")
+    offered = _keyed(offered, [F.col("s_" + c) for c in EQUAL])
+    offered = _exploded(offered, CAPACITY, interval_nodes(), "bigint", "__node")
+    offered = cut_lineage(offered.select("tier", "__key", F.col("__level").alias("__also"), F.coalesce("__node", F.lit(-1)).alias("__node")))
+    depth = F.when(F.col("__node") < 0, -1).otherwise(F.floor(F.col("__node") / ROOM)).cast("int")
+    keys = cut_lineage(offered.groupBy("__key").agg(F.collect_set(depth).alias("__depths")))
     asked = targets.withColumn("__pattern", F.explode("patterns")).drop("patterns")
     for k, c in enumerate(EQUAL):
         asked = asked.where(~_bit(k) | F.col(TARGET[c]).isNotNull())
+    asked = asked.where(~_bit(CAPACITY) | F.col("t_capacity").isNotNull())
     asked = _exploded(asked, LOCATION, F.array_distinct("t_locations"), "string", "__place")
     asked = _exploded(asked, VOLTAGE, F.array_distinct("t_voltage"), "double", "__level")
-    asked = _exploded(asked, CAPACITY, F.when(F.col("t_capacity").isNotNull(), nodes_above(slot(F.col("t_capacity")))), "bigint", "__node")
-    asked = _keyed(asked, [F.col(TARGET[c]) for c in EQUAL])
-    offered = scopes.withColumn("__pattern", pattern())
-    offered = _exploded(offered, LOCATION, F.array("s_location"), "string", "__place")
-    offered = _exploded(offered, VOLTAGE, F.array_distinct("s_voltage_kv"), "double", "__level")
-    offered = _exploded(offered, CAPACITY, interval_nodes(), "bigint", "__node")
-    offered = _keyed(offered, [F.col("s_" + c) for c in EQUAL])
-    pairs = asked.join(offered.drop("__place", "__node").withColumnRenamed("__level", "__also"), ["name", "__pattern", "__key"])
+    asked = _keyed(asked, [F.col(TARGET[c]) for c in EQUAL]).drop("__pattern", "__level").join(_small(keys), "__key")
+    place = slot(F.col("t_capacity"))
+    node = lambda d: F.when(d < 0, F.lit(-1)).otherwise(d.cast("long") * ROOM + F.floor(place / F.pow(F.lit(2.0), d)))
+    asked = asked.withColumn("__node", F.explode(F.transform("__depths", node)).cast("long")).drop("__depths")
+    pairs = asked.join(_small(offered), ["__key", "__node"]).drop("__key", "__node").join(_small(scopes.drop("name")), "tier")
     common = F.array_min(F.array_intersect("s_voltage_kv", "t_voltage"))
-    return pairs.where(F.col("__also").isNull() | (F.col("__also") == common)).drop("__pattern", "__key", "__place", "__level", "__node", "__also")
+    return pairs.where(F.col("__also").isNull() | (F.col("__also") == common)).drop("__also")
 
 
 def capacity_bands(targets: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -160,8 +160,8 @@ BFS_SQL = """WITH RECURSIVE inc AS (SELECT DISTINCT r.uid, r.node FROM v_refs r)
 def bfs_propagation(t):
     # lines without a tag are all one hop from a tagged line here; deeper paths are covered by tests
     seeds = t.v_line.where("voltage IS NOT NULL").select("uid")
-    reached = graph.spread_from_seeds(seeds, t.v_refs.select("uid", "node"))
-    return reached.select("uid", F.col("path")[0].alias("reference"), (F.size("path") - 1).alias("hops"))
+    reached = graph.first_reach(seeds, t.v_refs.select("uid", "node"))
+    return reached.select("uid", F.col("seed").alias("reference"), F.col("hop").alias("hops"))
 
 
 @query(
