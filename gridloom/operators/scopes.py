@@ -115,7 +115,7 @@ def fitting_pairs(targets: DataFrame, scopes: DataFrame) -> DataFrame:
     offered = _exploded(offered, VOLTAGE, F.array_distinct("s_voltage_kv"), "double", "__level")
     offered = _keyed(offered, [F.col("s_" + c) for c in EQUAL])
     offered = _exploded(offered, CAPACITY, interval_nodes(), "bigint", "__node")
-    offered = cut_lineage(offered.select("tier", "__key", F.col("__level").alias("__also"), F.coalesce("__node", F.lit(-1)).alias("__node")))
+    offered = cut_lineage(offered.select("tier", "__key", F.col("__level").alias("__also"), F.coalesce("__node", F.lit(-1).cast("long")).alias("__node")))
     depth = F.when(F.col("__node") < 0, -1).otherwise(F.floor(F.col("__node") / ROOM)).cast("int")
     keys = cut_lineage(offered.groupBy("__key").agg(F.collect_set(depth).alias("__depths")))
     asked = targets.withColumn("__pattern", F.explode("patterns")).drop("patterns")
@@ -126,8 +126,8 @@ def fitting_pairs(targets: DataFrame, scopes: DataFrame) -> DataFrame:
     asked = _exploded(asked, VOLTAGE, F.array_distinct("t_voltage"), "double", "__level")
     asked = _keyed(asked, [F.col(TARGET[c]) for c in EQUAL]).drop("__pattern", "__level").join(_small(keys), "__key")
     place = slot(F.col("t_capacity"))
-    node = lambda d: F.when(d < 0, F.lit(-1)).otherwise(d.cast("long") * ROOM + F.floor(place / F.pow(F.lit(2.0), d)))
-    asked = asked.withColumn("__node", F.explode(F.transform("__depths", node)).cast("long")).drop("__depths")
+    node = lambda d: F.when(d < 0, F.lit(-1)).otherwise(d.cast("long") * ROOM + F.floor(place / F.pow(F.lit(2.0), d))).cast("long")
+    asked = asked.withColumn("__node", F.explode(F.transform("__depths", node))).drop("__depths")
     pairs = asked.join(_small(offered), ["__key", "__node"]).drop("__key", "__node").join(_small(scopes.drop("name")), "tier")
     common = F.array_min(F.array_intersect("s_voltage_kv", "t_voltage"))
     return pairs.where(F.col("__also").isNull() | (F.col("__also") == common)).drop("__also")
