@@ -8,9 +8,10 @@ that its predecessor kept. Null or empty texts fail the quality rules; an empty
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, neardup, packing, quality, secrets
-from gridloom.llm.common import TEXT_COLUMNS, shared_folder, table
+from gridloom.llm.common import TEXT_COLUMNS, shared_folder, table, written
 from gridloom.llm.tokens import tokenizer_path
 
 
@@ -20,9 +21,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*TEXT_COLUMNS)
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by a number of their own, so different texts of one id, and rows without an id, are
+    documents like all others. Of a group the smallest id stays, a null id last, then the smallest row.
+    """
+    rows = written(docs.select(*TEXT_COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows, width=5, percent=80, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    kept = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*TEXT_COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
