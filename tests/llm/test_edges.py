@@ -96,3 +96,12 @@ def test_null_results(odd, spark):
     gone = {r.doc_id: r.n_removed for r in substrings.without_repeats(odd.where("doc_id is not null")).collect()}
     assert gone[6] > 0 and gone[7] == 90 and gone[0] == 0
     assert odd.where(F.col("doc_id") == 6).count() == 2
+
+
+def test_dedup_stage_keeps_clean_rows(spark, tmp_path):
+    """Rows without an id and different texts of one id stay; of equal or near texts one does."""
+    long = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
+    rows = [(1, long("a")), (1, long("b")), (None, long("c")), (None, long("d")), (7, long("c")), (3, long("e")), (2, long("e") + " more"), (2, long("e") + " more"), (9, "short"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id or 0, (r.text or "")[:3]) for r in P.dedup_stage(spark, docs, str(tmp_path)).collect()))
+    assert got == [(0, "d0 "), (1, "a0 "), (1, "b0 "), (2, "e0 "), (7, "c0 "), (8, ""), (9, "sho")]
