@@ -43,9 +43,13 @@ def step_hours(step: timedelta) -> float:
 
 
 def with_extendable(table: DataFrame, component: str, settings: Mapping[str, bool]) -> DataFrame:
-    """Add the flag of a component's capacity expansion from the backend settings; off where they are silent."""
+    """Add the flag of a component's capacity expansion from the backend settings; off where they are silent.
+
+    One setting governs branches, whether they become lines or links.
+    """
     name = "s_nom_extendable" if component in ("line", "transformer") else "p_nom_extendable"
-    return table.withColumn(name, F.lit(bool(settings.get(component, False))))
+    setting = "branch" if component in ("line", "link") else component
+    return table.withColumn(name, F.lit(bool(settings.get(f"{setting}_extendable", False))))
 
 
 def bus_table(bus: DataFrame) -> DataFrame:

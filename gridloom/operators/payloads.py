@@ -180,6 +180,51 @@ def filter_extent(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame
     return points.join(hit.select("uid").distinct(), "uid", "left_semi")
 
 
+def _segment_boxes(segments: DataFrame, p: str) -> DataFrame:
+    return segments.select(
+        *[F.col(c).alias(f"{p}_{c}") for c in segments.columns], F.least("ax", "bx").alias(f"{p}_x0"), F.least("ay", "by").alias(f"{p}_y0"),
+        F.greatest("ax", "bx").alias(f"{p}_x1"), F.greatest("ay", "by").alias(f"{p}_y1"),
+    )
+
+
+def _segments_meet():
+    """Whether segments l and r have a common point; their boxes are known to meet."""
+    c = lambda p, k: F.col(f"{p}_{k}")
+    side = lambda p, q, e: (c(p, "bx") - c(p, "ax")) * (c(q, e + "y") - c(p, "ay")) - (c(p, "by") - c(p, "ay")) * (c(q, e + "x") - c(p, "ax"))
+    apart = lambda p, q: F.signum(side(p, q, "a")) * F.signum(side(p, q, "b")) > 0
+    return ~apart("l", "r") & ~apart("r", "l")
+
+
+def filter_shapes(shapes: DataFrame, areas: DataFrame) -> DataFrame:
+    """Lines and areas (uid, path, closed) that meet any of the areas (ring, sign).
+
+    A shape meets an area where one of its segments meets a border, or where it lies inside, or around it
+    as a closed one; the last two are told from one vertex. Holes count as outside.
+    """
+    from ..functions import geometry as G
+    from .tiling import ring_segments, segments_of, size_class_pairs
+
+    ringed = areas.withColumn("ring_id", F.monotonically_increasing_id())
+    path = F.when(F.col("closed"), F.concat("path", F.slice("path", 1, 1))).otherwise(F.col("path"))
+    own = segments_of(shapes.select("uid", path.alias("line")), "uid", "line").drop("piece")
+    borders = ring_segments(ringed, "ring_id").drop("piece", "ring_id")
+    crossing = size_class_pairs(_segment_boxes(own, "l"), _segment_boxes(borders, "r")).where(_segments_meet()).select(F.col("l_uid").alias("uid"))
+
+    def holding(points: DataFrame, rings: DataFrame) -> DataFrame:
+        """Points (id, x, y) inside polygons (key, ring, sign): id, key."""
+        l = points.select("id", F.col("x").alias("l_x0"), F.col("y").alias("l_y0"), F.col("x").alias("l_x1"), F.col("y").alias("l_y1"))
+        r = rings.select("key", "ring", "sign", *G.bbox("ring", "r_"))
+        hit = F.when(G.point_in_ring("l_x0", "l_y0", "ring"), F.col("sign")).otherwise(0)
+        return size_class_pairs(l, r).groupBy("id", "key").agg(F.sum(hit).alias("h")).where("h > 0").select("id", "key")
+
+    first = lambda c: F.get(F.col(c), 0)
+    inside = holding(shapes.select(F.col("uid").alias("id"), first("path")["x"].alias("x"), first("path")["y"].alias("y")), ringed.select(F.lit(0).alias("key"), "ring", "sign"))
+    outer = ringed.where("sign > 0").select(F.col("ring_id").alias("id"), first("ring")["x"].alias("x"), first("ring")["y"].alias("y"))
+    around = holding(outer, shapes.where("closed").select(F.col("uid").alias("key"), F.col("path").alias("ring"), F.lit(1).alias("sign")))
+    met = crossing.union(inside.select(F.col("id").alias("uid"))).union(around.select(F.col("key").alias("uid"))).distinct()
+    return shapes.join(met, "uid", "left_semi")
+
+
 def axis_step(df: DataFrame, axis: str, default: float = 0.25) -> DataFrame:
     """Median positive step between the distinct coordinates of an axis, as one row.
 

@@ -46,6 +46,36 @@ def overlap_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     )
 
 
+def size_class_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of boxes (l_x0 … and r_x0 …) that meet, borders included, whatever their sizes are.
+
+    A box belongs to the level whose squares (side 2^level) are no smaller than it, so it touches four of them at
+    most, there and on every coarser level. A pair meets on the coarser of its two levels, by an equi-join on the
+    square, and is kept by the square that holds the lower-left corner of the common part. A continental box
+    thus is a few rows of a coarse level instead of all tiles of a city's size.
+    """
+    level = lambda p: F.ceil(F.log2(F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.col(f"{p}_y1") - F.col(f"{p}_y0"), F.lit(1e-9)))).cast("int")
+    l, r = left.withColumn("l_level", level("l")), right.withColumn("r_level", level("r"))
+    levels = l.select(F.col("l_level").alias("v")).union(r.select("r_level")).distinct().agg(F.array_sort(F.collect_set("v")).alias("levels"))
+
+    def keyed(df: DataFrame, p: str) -> DataFrame:
+        # There are few levels: one per doubling of the size.
+        known = df.withColumn("__one", F.lit(1)).join(levels.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        at = known.withColumn("__level", F.explode(F.filter("levels", lambda v: v >= F.col(f"{p}_level")))).drop("levels")
+        side = F.pow(F.lit(2.0), F.col("__level"))
+        span = lambda a: F.explode(F.sequence(tile_of(f"{p}_{a}0", side), tile_of(f"{p}_{a}1", side)))
+        return at.withColumn("tile_x", span("x")).withColumn("tile_y", span("y"))
+
+    ix0, iy0, side = F.greatest("l_x0", "r_x0"), F.greatest("l_y0", "r_y0"), F.pow(F.lit(2.0), F.col("__level"))
+    return (
+        keyed(l, "l").join(keyed(r, "r"), ["__level", "tile_x", "tile_y"])
+        .where(F.col("__level") == F.greatest("l_level", "r_level"))
+        .where((F.least("l_x1", "r_x1") >= ix0) & (F.least("l_y1", "r_y1") >= iy0))
+        .where((F.col("tile_x") == tile_of(ix0, side)) & (F.col("tile_y") == tile_of(iy0, side)))
+        .drop("__level", "tile_x", "tile_y", "l_level", "r_level")
+    )
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Point (x, y) and box (x0…y1) pairs where the closed box holds the point."""
     p = points.withColumn("tile_x", tile_of("x", size)).withColumn("tile_y", tile_of("y", size))

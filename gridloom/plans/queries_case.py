@@ -12,7 +12,7 @@ from .queries_spatial import LOAD_SQL, TILE
 from .registry import query, rounded
 
 SUMS, FLAGS = ["capital_cost"], ["vom"]
-EXPANSION = {"line": True, "generator": True, "converter": True, "storage": False}
+EXPANSION = {"branch_extendable": True, "transformer_extendable": True, "converter_extendable": True, "generator_extendable": True, "storage_extendable": False}
 
 
 @query(
@@ -215,7 +215,7 @@ def line_table(t):
 
 @query(
     "link_table",
-    """SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, 2000.0E0 * (CAST(substr(uid, 3) AS BIGINT) % 3 + 1) AS p_nom, -1.0E0 AS p_min_pu, 1.0E0 AS efficiency, false AS p_nom_extendable FROM v_edge WHERE CAST(substr(uid, 3) AS BIGINT) % 8 = 0""",
+    """SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, 2000.0E0 * (CAST(substr(uid, 3) AS BIGINT) % 3 + 1) AS p_nom, -1.0E0 AS p_min_pu, 1.0E0 AS efficiency, true AS p_nom_extendable FROM v_edge WHERE CAST(substr(uid, 3) AS BIGINT) % 8 = 0""",
 )
 def link_table(t):
     _, links = backend.line_tables(*_branch_case(t))
@@ -238,7 +238,7 @@ def _branch_case(t):
 
 @query(
     "transformer_table",
-    """SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, round(CASE WHEN k % 3 = 0 THEN 500.0E0 ELSE 3000.0E0 END, 9) AS s_nom, 0.003E0 AS r, round(sqrt(greatest(power(CASE WHEN k % 5 = 0 THEN 0.001E0 ELSE 0.12E0 END, 2) - 0.003E0 * 0.003E0, 0)), 9) AS x FROM (SELECT *, CAST(substr(uid, 3) AS BIGINT) AS k FROM v_edge)""",
+    """SELECT uid, from_bus_uid AS bus0, to_bus_uid AS bus1, round(CASE WHEN k % 3 = 0 THEN 500.0E0 ELSE 3000.0E0 END, 9) AS s_nom, 0.003E0 AS r, round(sqrt(greatest(power(CASE WHEN k % 5 = 0 THEN 0.001E0 ELSE 0.12E0 END, 2) - 0.003E0 * 0.003E0, 0)), 9) AS x, true AS s_nom_extendable FROM (SELECT *, CAST(substr(uid, 3) AS BIGINT) AS k FROM v_edge)""",
 )
 def transformer_table(t):
     k = F.substring("uid", 3, 20).cast("long")
@@ -247,7 +247,7 @@ def transformer_table(t):
         F.struct(F.lit("vk_percent").alias("name"), F.when(k % 5 == 0, 0.1).alias("value"), F.lit("%").alias("unit")),
     )
     params = t.v_edge.select("uid", F.explode(rows).alias("p")).select("uid", "p.*")
-    return rounded(backend.transformer_table(t.v_edge, params), 9)
+    return rounded(backend.with_extendable(backend.transformer_table(t.v_edge, params), "transformer", EXPANSION), 9)
 
 
 @query(
@@ -267,7 +267,7 @@ def generator_table(t):
 @query(
     "storage_table",
     """SELECT uid, bus_uid AS bus, round(power_capacity_mw, 6) AS p_nom, coalesce(duration_h, 6.0E0) AS max_hours, CASE WHEN subclass IS NULL THEN class ELSE concat(class, ':', subclass) END AS carrier, round(sqrt(CASE WHEN CAST(substr(uid, 5) AS BIGINT) % 2 = 0 THEN 0.81E0 ELSE 1.0E0 END), 6) AS efficiency_store,
-              CAST(substr(uid, 5) AS BIGINT) % 3 = 0 AS cyclic_state_of_charge FROM v_storage""",
+              CAST(substr(uid, 5) AS BIGINT) % 3 = 0 AS cyclic_state_of_charge, false AS p_nom_extendable FROM v_storage""",
 )
 def storage_table(t):
     k = F.substring("uid", 5, 20).cast("long")
@@ -276,7 +276,8 @@ def storage_table(t):
         F.struct(F.lit("cyclic_state_of_charge").alias("name"), F.when(k % 3 == 0, 1.0).alias("value"), F.lit("boolean").alias("unit")),
     )
     params = t.v_storage.select("uid", F.explode(rows).alias("p")).select("uid", "p.*")
-    return rounded(backend.storage_table(t.v_storage, params).select("uid", "bus", "p_nom", "max_hours", "carrier", "efficiency_store", "cyclic_state_of_charge"))
+    table = backend.with_extendable(backend.storage_table(t.v_storage, params), "storage", EXPANSION)
+    return rounded(table.select("uid", "bus", "p_nom", "max_hours", "carrier", "efficiency_store", "cyclic_state_of_charge", "p_nom_extendable"))
 
 
 @query(

@@ -568,6 +568,22 @@ def extent_filter(t):
     return payloads.filter_extent(t.v_place, payloads.require_levels(t.v_admin, ["marine_zone"]), 20.0).select("uid")
 
 
+@query(
+    "extent_shapes",
+    """WITH m AS (SELECT * FROM v_admin WHERE level = 'marine_zone'),
+            s AS (SELECT uid, x AS x0, y AS y0, x + 7 AS x1, y AS y1 FROM v_place UNION ALL SELECT uid, x0, y0, x1, y1 FROM v_block UNION ALL SELECT admin_uid, x0 - 45, y0 + 2, x1, y0 + 4 FROM v_admin)
+       SELECT uid FROM s WHERE EXISTS (SELECT 1 FROM m WHERE s.x0 <= m.x1 AND s.x1 >= m.x0 AND s.y0 <= m.y1 AND s.y1 >= m.y0)""",
+)
+def extent_shapes(t):
+    """Lines and areas of very different sizes that meet the units of a level."""
+    x, y = F.col("x"), F.col("y")
+    lines = t.v_place.select("uid", F.array(G.point(x, y), G.point(x + 7, y)).alias("path"), F.lit(False).alias("closed"))
+    blocks = t.v_block.select("uid", G.box_ring("x0", "y0", "x1", "y1").alias("path"), F.lit(True).alias("closed"))
+    strips = t.v_admin.select(F.col("admin_uid").alias("uid"), G.box_ring(F.col("x0") - 45, F.col("y0") + 2, F.col("x1"), F.col("y0") + 4).alias("path"), F.lit(True).alias("closed"))
+    areas = payloads.require_levels(t.v_admin, ["marine_zone"]).select(G.box_ring("x0", "y0", "x1", "y1").alias("ring"), F.lit(1).alias("sign"))
+    return payloads.filter_shapes(lines.unionByName(blocks).unionByName(strips), areas).select("uid")
+
+
 @query(
     "axis_step",
     """WITH a AS (SELECT DISTINCT round(x0, 8) AS v FROM v_block), g AS (SELECT v - lag(v) OVER (ORDER BY v) AS d FROM a) SELECT round(coalesce(quantile_cont(d, 0.5), 0.25), 6) AS step FROM g WHERE d > 1e-8""",
