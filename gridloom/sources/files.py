@@ -7,9 +7,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.geometry import RING
 from ..operators.skew import duplicates, require_none
+from ..session import cut_lineage
 
 LAYER = "zone_class"
 
@@ -55,14 +57,57 @@ def read_series(
 GEOMETRY = "struct<type:string,coordinates:variant>"
 
 
+#: A whole JSON string, as a regular expression.
+STRING = r'"(?:[^"\\]+|\\.)*"'
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Objects that lie directly in the outermost object of JSON files, or in its arrays: (file, json).
+
+    Large files become many tasks. The text source cuts them at every closing brace, at any byte range. How deep
+    a fragment begins, and whether it begins inside a string, is a prefix sum: over the fragments of a range, and
+    over the ranges of a file. Fragments of one object then meet by its number, and only an object is put together.
+    """
+    rows = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    # The order of rows is fixed by file and range; escaped characters can't end a string.
+    bare = F.split(F.regexp_replace("value", r"\\.", ""), '"')
+    opened = lambda odd: F.aggregate(F.transform(bare, lambda t, i: F.when(i % 2 == odd, F.length(t) - F.length(F.replace(t, F.lit("{")))).otherwise(0)), F.lit(0), lambda x, v: x + v)
+    rows = cut_lineage(rows.withColumns({"quotes": (F.size(bare) - 1) % 2, "outside": opened(0), "inside": opened(1)}))
+    key = ["file", "block"]
+    order = Window.partitionBy(*key).orderBy("row")
+
+    def with_prefix(df: DataFrame, value: str, name: str) -> DataFrame:
+        """Sum of a value over all earlier fragments of the file."""
+        blocks = df.groupBy(*key).agg(F.sum(value).alias("__sum"))
+        before = F.coalesce(F.sum("__sum").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = blocks.select(*key, before.alias("__start"))
+        own = F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn("__own", own).join(starts, key).withColumn(name, F.col("__start") + F.col("__own")).drop("__own", "__start")
+
+    quoted = with_prefix(rows, "quotes", "__q").withColumn("in_string", F.col("__q") % 2 == 1)
+    ends_open = (F.col("__q") + F.col("quotes")) % 2 == 1
+    change = F.when(F.col("in_string"), F.col("inside")).otherwise(F.col("outside")) - F.when(ends_open, 0).otherwise(1)
+    deep = with_prefix(quoted.withColumn("change", change), "change", "depth")
+    deep = deep.withColumn("closes", ((F.col("depth") + F.col("change") == 1) & ~ends_open).cast("int"))
+    numbered = with_prefix(deep, "closes", "number")
+    # What stands before an object: the outermost brace, keys, brackets and commas.
+    head = F.when(F.col("depth") == 0, F.regexp_replace("value", r'^[^{]*\{(?:[^"{]+|' + STRING + ")*", "")).when(
+        (F.col("depth") == 1) & ~F.col("in_string"), F.regexp_replace("value", r'^(?:[^"{]+|' + STRING + ")*", "")
+    ).otherwise(F.col("value"))
+    parts = numbered.select("file", "number", "block", "row", head.alias("text"), "closes")
+    whole = parts.groupBy("file", "number").agg(F.max("closes").alias("closes"), F.array_sort(F.collect_list(F.struct("block", "row", "text"))).alias("parts"))
+    return whole.where("closes = 1").select("file", F.concat(F.array_join(F.transform("parts", lambda x: x["text"]), "}"), F.lit("}")).alias("json"))
+
+
 def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """GeoJSON feature collections: one row per feature with its properties and a geometry variant.
 
-    properties: DDL of the wanted attributes; missing properties give nulls.
+    properties: DDL of the wanted attributes; missing properties give nulls. One large file is read by many tasks.
     """
-    schema = f"features array<struct<properties:struct<{properties}>,geometry:{GEOMETRY}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    d = raw.select(F.explode("features").alias("f"))
+    schema = f"type string, properties struct<{properties}>, geometry {GEOMETRY}"
+    d = json_objects(spark, path).select(F.from_json("json", schema).alias("f")).where("f.type = 'Feature'")
     names = [f.name for f in T.StructType.fromDDL(properties.replace(":", " ")).fields] if ":" in properties else T.StructType.fromDDL(properties).fieldNames()
     return d.select(*[F.col("f.properties")[n].alias(n) for n in names], F.col("f.geometry").alias("geometry"))
 
