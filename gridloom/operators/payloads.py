@@ -228,12 +228,12 @@ def filter_shapes(shapes: DataFrame, areas: DataFrame) -> DataFrame:
 def axis_step(df: DataFrame, axis: str, default: float = 0.25) -> DataFrame:
     """Median positive step between the distinct coordinates of an axis, as one row.
 
-    Coordinates of a grid axis are a dimension: they are deduplicated first and ordered in blocks.
+    Coordinates of a grid axis are a dimension: they are deduplicated first and ordered in ranges.
     """
-    from .skew import with_next
+    from .skew import with_next_value
 
-    values = df.select((F.round(axis, 8) * 1e8).cast("long").alias("p")).where("p IS NOT NULL").distinct().withColumn("g", F.lit(0))
-    gaps = with_next(values, ["g"], "p", ["p"], "n").where("n IS NOT NULL").select(((F.col("n.p") - F.col("p")) / 1e8).alias("d")).where("d > 1e-8")
+    values = df.select((F.round(axis, 8) * 1e8).cast("long").alias("p")).where("p IS NOT NULL").distinct()
+    gaps = with_next_value(values, "p", "n").where("n IS NOT NULL").select(((F.col("n") - F.col("p")) / 1e8).alias("d")).where("d > 1e-8")
     return exact_percentiles(gaps, [], "d", {"step": 0.5}).select(F.coalesce("step", F.lit(default)).alias("step"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def with_group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Attach group aggregates to every row: partial aggregation, then a join on the group key."""
@@ -139,6 +141,21 @@ def with_next(df: DataFrame, keys: Sequence[str], pos: str, payload: Sequence[st
     )
 
 
+def with_next_value(df: DataFrame, value: str, name: str = "next") -> DataFrame:
+    """Attach the next larger row's value to every row of a table of distinct values, however sparse they are.
+
+    Ranges of the values (cut by Spark's sample of them) are ordered by themselves; the last row of a range takes
+    the first value of the range behind it, and only those first values, one per range, are ordered as a whole.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = cut_lineage(df.select(value).repartitionByRange(parts, value).withColumn("__part", F.spark_partition_id()))
+    heads = ranges.groupBy("__part").agg(F.min(value).alias("__head"))
+    heads = heads.select("__part", F.lead("__head").over(Window.orderBy("__part")).alias("__after"))
+    inner = Window.partitionBy("__part").orderBy(value)
+    out = ranges.withColumn("__n", F.lead(value).over(inner)).join(heads, "__part")
+    return out.select(value, F.coalesce("__n", "__after").alias(name))
+
+
 def with_running_max(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str) -> DataFrame:
     """Running maximum by integer position, in blocks with a carried maximum."""
     rows = df.withColumn("__b", F.floor(F.col(pos) / BLOCK).cast("long")).withColumn("__v", value)

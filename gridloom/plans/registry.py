@@ -49,6 +49,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> dict[str, Query]:
     """Import every query module and return the registry."""
-    from . import queries_case, queries_network, queries_parameters, queries_series, queries_sources, queries_spatial  # noqa: F401
+    from . import queries_case, queries_network, queries_parameters, queries_series, queries_sources, queries_spatial, queries_units  # noqa: F401
 
     return REGISTRY

@@ -1,5 +1,6 @@
 """Large keys, groups and axes keep every row."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -44,3 +45,18 @@ def test_availability_on_the_given_snapshots(spark):
 def test_matching_rule_labels(spark):
     rules = {r["rank"]: r for r in parameters.matching_rules(spark).collect()}
     assert rules[5].direction == "latest first" and rules[6].direction == "equivalent" and rules[4].configured_value
+
+
+def test_next_value_of_a_sparse_axis(spark):
+    """No range holds much more than its share, and every value finds its follower."""
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import skew
+
+    rng = random.Random(2)
+    values = sorted({rng.randrange(10**14) for _ in range(4000)} | set(range(500)))
+    df = spark.createDataFrame([(v,) for v in values], "p long").repartition(5)
+    got = {r.p: r.next for r in skew.with_next_value(df, "p").collect()}
+    assert got == dict(zip(values, [*values[1:], None]))
+    parts = df.repartitionByRange(8, "p").groupBy(F.spark_partition_id().alias("k")).count().collect()
+    assert max(r["count"] for r in parts) < 2 * len(values) / 8
