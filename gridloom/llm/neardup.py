@@ -4,10 +4,15 @@
 2. Each class gets a MinHash signature of its distinct word shingles. `BANDS` bands of `ROWS` values are its
    band keys; classes with a common band key are candidates.
 3. In a first pass every member of a band is compared with one member of it, drawn by hash. A group of n
-   near copies makes n candidates a band, not n * n. In a second pass the members of a band that are not yet
-   in one component are compared with each other; a pair inside one component can't change a component.
-   Shingles that no other class of that pass has bound what a pair can have in common, and pairs that can't
-   reach the threshold by this bound are not made. A class with a fifth of its own shingles is in none.
+   near copies makes n candidates a band, not n * n. A second pass finds the links between members of a band
+   that are not yet in one component; a pair inside one component can't change a component.
+   Its members are described by their differences from a reference, the member of the band with most links.
+   Two sets are linked exactly if their symmetric difference is small against their sizes. With differences
+   that have nothing in common it is the sum of both, so a linked pair of that kind is linked through the
+   reference, and one star decides all of them. The other pairs share a difference, and as many as they lack
+   to the threshold: they meet on the rarest of their differences (prefix and position filter), one of the two
+   being a member that is not linked to the reference. This is exact for any reference; a near one makes it
+   short. A class with a fifth of its own shingles is in no pair.
 4. A candidate is judged sequentially: after each batch of signature values, the posterior probability that
    its similarity reaches the threshold, given the matches so far and a uniform prior, is compared with the
    chosen miss probability. Survivors are verified on their full shingle sets. So every link is exact.
@@ -209,6 +214,69 @@ def _shared_counts(ids: DataFrame, sizes: DataFrame, texts: DataFrame, width: in
     return ids.join(sizes, "id").join(own, "id", "left").select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
+def _differing(width: int, percent: int):
+    """Members with their text and that of their reference to the differences of the two sets of shingles.
+
+    n and d are the sizes of the set and of the symmetric difference. A pair is linked if and only if the sum
+    of both excesses is at most `2 * (100 + percent)` for each difference that they share. `far` members are not
+    linked to the reference. A shingle that is missing has the complement of its hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("ref", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("d", pa.int64()),
+                            ("excess", pa.int64()), ("least", pa.int64()), ("differences", pa.list_(pa.int64()))])
+        for batch in batches:
+            last, base, rows = None, np.zeros(0, np.uint64), []
+            for ref, id_, component, text, other in zip(*(c.to_pylist() for c in batch.columns)):
+                if ref != last:
+                    last, base = ref, _hash_words(other.split(" "), width)
+                own = _hash_words(text.split(" "), width)
+                d = np.concatenate((np.setdiff1d(own, base, True), ~np.setdiff1d(base, own, True))).view(np.int64)
+                rows.append((ref, id_, component, len(own), len(d), (100 + percent) * len(d) - (100 - percent) * len(own), (percent - 100) * len(base), d))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _second_pairs(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among the members (ref, id, component) of each reference: every linked pair of
+    different components is among them, or both of it are paired with the reference.
+
+    A pair shares at least (excess + excess of the other) / gain differences. In order of rarity its first common
+    one stands so early in both lists that this many can follow. One side is always a far member, the one with the
+    larger excess; what it needs at least follows from the sizes that the threshold allows for its partner.
+    """
+    gain, step = 2 * (100 + percent), 100 + percent
+    both = rest.join(texts.toDF("id", "ti"), "id").join(texts.toDF("ref", "tr"), "ref").select("ref", "id", "component", "ti", "tr")
+    schema = "ref long, id long, component long, n long, d long, excess long, least long, differences array<long>"
+    told = written(both.mapInArrow(_differing(width, percent), schema), "differences")
+    star = told.where("excess + least <= 0").select(F.least("ref", "id").alias("a"), F.greatest("ref", "id").alias("b"))
+    rows = told.select("ref", "id", F.explode("differences").alias("h"))
+    counts = rows.groupBy("ref", "h").agg(F.count("*").alias("c"))
+    ordered = rows.join(counts, ["ref", "h"]).groupBy("ref", "id").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
+    listed = written(told.drop("differences").join(ordered, ["ref", "id"]), "ordered")
+
+    def needed(value: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(value))
+
+    def prefixes(df: DataFrame, need: Column, *names: str) -> DataFrame:
+        """The first d - need + 1 differences with their places; those of one member only meet nobody."""
+        size = (F.greatest(F.lit(0), F.col("d") - need + 1)).cast("int")
+        out = df.select("ref", "id", "component", "n", "d", "excess", F.posexplode(F.slice("list", F.lit(1), size)).alias("at", "item"))
+        return out.where("item.c > 1").select("ref", F.col("item.h").alias("h"), *(
+            F.col(c).alias(n) for c, n in zip(("id", "component", "n", "excess"), names)
+        ), (F.col("d") - F.col("at")).alias(names[-1]))
+
+    # `left`, `right`: this difference and those that follow it.
+    far = prefixes(listed.where("excess + least > 0"), needed((percent * F.col("excess") - 100 * (100 - percent) * F.col("n")) / (percent * step)), "x", "cx", "nx", "ex", "left")
+    near = prefixes(listed, needed((F.col("excess") + F.greatest("excess", 1 - F.col("least"))) / gain), "y", "cy", "ny", "ey", "right")
+    pairs = far.join(near, ["ref", "h"]).where(
+        (F.struct("ey", "y") < F.struct("ex", "x")) & (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        & (gain * F.least("left", "right") >= F.col("ex") + F.col("ey"))
+    )
+    return star.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def near_duplicate_links(signatures: DataFrame, body: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """Links (a, b) that give the components of the classes (id, signature); body has (id, folded text)."""
     bands = signatures.select("id", F.explode(band_keys(F.col("signature"))).alias("band"))
@@ -220,20 +288,20 @@ def near_duplicate_links(signatures: DataFrame, body: DataFrame, width: int = 5,
     links = written(_links(first, signatures, texts, width, percent, miss), "links")
     # Second pass: pairs of different components in a band, but for those with the centre, which are done.
     of = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
-    rest = crowded.where("members > 2 and id != centre").join(of, "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    rest = crowded.where("members > 2").join(of, "id", "left").join(degrees, "id", "left").select(
+        "band", "id", (F.col("id") == F.col("centre")).alias("done"),
+        F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"),
     )
-    mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = written(rest.join(mixed, "band", "left_semi"), "mixed")
+    other = F.when(~F.col("done"), F.col("component"))
+    mixed = rest.groupBy("band").agg(
+        F.min(other).alias("lo"), F.max(other).alias("hi"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("ref")
+    ).where("lo < hi").select("band", "ref")
+    rest = written(rest.where("not done").join(mixed, "band").select("ref", "id", "component").distinct(), "mixed")
     shared = _shared_counts(rest.select("id").distinct(), signatures.select("id", "n_shingles"), texts, width)
     # A class too many of whose shingles are its own can't reach the threshold with any other.
-    rest = rest.join(shared.where(100 * F.col("shared") >= percent * F.col("n")), "id")
-    other = rest.select("band", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("shared").alias("also"))
-    most = F.least("shared", "also")
-    second = rest.withColumnRenamed("id", "a").join(other, "band").where(
-        (F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most))
-    ).select("a", "b").distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
+    able = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("id")
+    second = _second_pairs(rest.where("id != ref").join(able, "id", "left_semi"), texts, width, percent).join(first, ["a", "b"], "left_anti")
     more = _links(second, signatures, texts, width, percent, miss)
     return written(links.union(more), "links")
 

@@ -228,6 +228,45 @@ def test_near_duplicates(docs, texts, width):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), root(d)) for d in sets}
 
 
+def near_copies(seed, members=240, length=90, words_=400):
+    """Copies of one text with 1 to 20 changed, dropped or added words each, and some other texts."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, words_, length)]
+    texts = {0: " ".join(base)}
+    for d in range(1, members):
+        own = list(base) if d % 20 else [f"v{i}" for i in rng.integers(0, words_, length)]
+        if d % 3 == 0 and d > 60:  # copies of copies
+            own = texts[int(rng.integers(1, d))].split(" ")
+        for _ in range(int(rng.integers(1, 21))):
+            at = int(rng.integers(0, len(own)))
+            own[at : at + 1] = [[f"w{rng.integers(0, words_)}"], [], [own[at], f"w{rng.integers(0, words_)}"]][int(rng.integers(0, 3))]
+        texts[d] = " ".join(own)
+    return texts
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_second_pass_holds_every_link(spark, width):
+    """Whatever the reference is, each linked pair is a candidate, or both members are linked through it."""
+    texts = near_copies(width)
+    sets = {d: neardup.word_shingles(t, width) for d, t in texts.items()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    table = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for ref in (0, 7, 20):
+        rest = table.where(f"id != {ref}").selectExpr(f"{ref}L AS ref", "id", "id AS component")
+        found = {tuple(r) for r in neardup._second_pairs(rest, table, width, 80).collect()}
+        star = {a + b - ref for a, b in found if ref in (a, b)}
+        assert star == {a + b - ref for a, b in linked if ref in (a, b)}
+        assert all(p in found or ref in p or (p[0] in star and p[1] in star) for p in linked)
+        if ref == 0:
+            assert len(found) < 2 * len(texts) + len(linked)
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_of_varied_copies(spark, width):
+    texts = near_copies(width + 10)
+    test_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, width)
+
+
 def test_pruning_keeps_similar_pairs():
     least = neardup.pruning_table(288, 24, 0.8, 1e-6)
     rng = np.random.default_rng(3)
