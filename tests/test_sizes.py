@@ -47,3 +47,12 @@ def test_numbered_branches_beyond_five_digits(spark, folder):
     at = folder(customer="SELECT CAST(i AS BIGINT) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT * FROM customer LIMIT 1), range(0, 100100) r(i)")
     got = assert_same(spark, "numbered_branches", at)
     assert any(r[1] == "bus_100099" for r in got)
+
+
+#: Parts whose keys differ by 100,000 stand at the same place; few suppliers leave most of them without a station.
+STACKED_PARTS = "SELECT CAST(p_partkey + i * 100000 AS BIGINT) AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part, range(0, 2) r(i)"
+STACKED_ITEMS = "SELECT * REPLACE (CAST(l_partkey + 100000 * (l_linenumber % 2) AS BIGINT) AS l_partkey) FROM lineitem"
+
+
+def test_grid_summary_of_stacked_junctions(spark, folder):
+    assert_same(spark, "grid_summary", folder(part=STACKED_PARTS, lineitem=STACKED_ITEMS))
