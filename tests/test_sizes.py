@@ -56,3 +56,18 @@ STACKED_ITEMS = "SELECT * REPLACE (CAST(l_partkey + 100000 * (l_linenumber % 2)
 
 def test_grid_summary_of_stacked_junctions(spark, folder):
     assert_same(spark, "grid_summary", folder(part=STACKED_PARTS, lineitem=STACKED_ITEMS))
+
+
+def test_nearest_in_region_of_near_ties(spark):
+    """Distances that hypot and the root of the sum order differently."""
+    from gridloom.operators import mapping
+
+    place = lambda k: ((k * 7919) % 11000 / 100 - 5, (k * 4729) % 11000 / 100 - 5)
+    x, y = place(32305)
+    at = {k: (float(k * 37 % 100), float(k * 53 % 100)) for k in (1672, 1791)}
+    length = {k: ((x - a) * (x - a) + (y - b) * (y - b)) ** 0.5 for k, (a, b) in at.items()}
+    objects = spark.createDataFrame([("o", x, y, "r")], "uid string, x double, y double, region string")
+    stations = spark.createDataFrame([(f"bus:{k}", a, b, "r") for k, (a, b) in at.items()], "node_uid string, x double, y double, region string")
+    row = mapping.nearest_in_region(objects, stations, "region").first()
+    best = min(at, key=lambda k: (length[k], f"bus:{k}"))
+    assert (row.node_uid, row.station_distance_m) == (f"bus:{best}", length[best])
