@@ -86,3 +86,14 @@ def test_stacked_boxes_meet_once(spark, monkeypatch):
     none = spark.createDataFrame([], "source_uid string, spatial_uid string, source_area double, target_area double, overlap_area double")
     row = crosswalk.attach_uncovered(none, sources, cells, spark.sql("SELECT 'c' AS spatial_uid, 1.0D AS weight"), ["l"]).collect()
     assert seen == [1] and [(r.source_uid, r.overlap_area) for r in row] == [("s:0", 1.0)]
+
+
+def test_rings_are_clipped_once_per_square(spark):
+    """A filter on the clipped ring must not hold the clipping again."""
+    from gridloom.functions import geometry as G
+    from gridloom.operators import cells
+
+    units = spark.sql("SELECT 'a' AS admin_uid, 'l' AS level, 1 AS sign, 0.5D AS x0, 0.5D AS y0, 4.0D AS x1, 2.0D AS y1")
+    parts = cells.ring_cells(units.select("admin_uid", "level", "sign", G.box_ring("x0", "y0", "x1", "y1").alias("ring")), 3.0, (0.0, 0.0))
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 4
+    assert sorted((r.source_cell_uid, r.part_area) for r in parts.collect()) == [("square:3:0:0", 3.75), ("square:3:1:0", 1.5)]
