@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .skew import with_listed, with_share
 
 METHODS = {"bus": "bus_uid", "cell": "spatial_uid"}
@@ -85,23 +87,40 @@ def aggregate_assets(data: DataFrame, *, dataset_id: str, method: str, list_sour
 
 
 def aggregate_parameters(
-    parameter: DataFrame, members: DataFrame, *, sum_names: Iterable[str] = (), boolean_names: Iterable[str] = (), list_sources: bool = True
+    parameter: DataFrame, members: DataFrame, *, sum_names: Iterable[str] = (), boolean_names: Iterable[str] = (), list_sources: bool = True,
+    by: Sequence[str] = ("uid",),
 ) -> DataFrame:
     """Parameters of aggregates: sum, maximum or capacity-weighted mean; units stay apart.
 
-    A zero total weight gives a null value instead of an error.
+    A zero total weight gives a null value instead of an error. Members with the same parameters name them by common
+    columns (`by`; the default is the uid of the asset, `source_uid` of a member). Parameters are summed per such
+    profile and members per aggregate and profile before both meet, so no row is made per member and parameter. Texts
+    are listed once per set of profiles.
     """
-    p = parameter.where("value IS NOT NULL").alias("p")
-    m = members.select(F.col("source_uid").alias("member_uid"), "aggregate_uid", "source_capacity_mw").alias("m")
-    joined = p.join(m, F.col("p.uid") == F.col("m.member_uid"))
-    v, w = F.col("p.value"), F.col("m.source_capacity_mw")
-    grouped = joined.groupBy("m.aggregate_uid", "p.name", "p.unit").agg(
-        F.sum(v).alias("__sum"), F.max(v).alias("__max"), F.try_divide(F.sum(v * w), F.sum(w)).alias("__mean"),
-        F.count("*").alias("records"),
+    keys = [f"__{c}" for c in by]
+    p = parameter.where("value IS NOT NULL").withColumnsRenamed(dict(zip(by, keys)))
+    own = ["source_uid" if c == "uid" else c for c in by]
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in keys))
+    m = members.select(*[F.col(c).alias(k) for c, k in zip(own, keys)], "aggregate_uid", "source_capacity_mw").where(known)
+    profiles = p.groupBy(*keys, "name", "unit").agg(F.sum("value").alias("v"), F.max("value").alias("most"), F.count("*").alias("n"))
+    weights = m.groupBy("aggregate_uid", *keys).agg(F.count("*").alias("members"), F.sum("source_capacity_mw").alias("w"))
+    joined = weights.join(profiles, keys)
+    grouped = joined.groupBy("aggregate_uid", "name", "unit").agg(
+        F.sum(F.col("v") * F.col("members")).alias("__sum"), F.max("most").alias("__max"),
+        F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("__mean"), F.sum(F.col("n") * F.col("members")).alias("records"),
     )
     ids = [c for c in ("selected_parameter_uid", "source_id", "source_uid") if list_sources and c in parameter.columns]
-    rows = joined.select("m.aggregate_uid", "p.name", "p.unit", *[f"p.{c}" for c in ids])
-    grouped = with_listed(grouped, rows, ["aggregate_uid", "name", "unit"], ids)
+    if ids:
+        sets = weights.groupBy("aggregate_uid").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*keys)))), 256).alias("__set"))
+        sets = cut_lineage(sets)
+        one = sets.groupBy("__set").agg(F.min("aggregate_uid").alias("aggregate_uid"))
+        within = one.join(weights.select("aggregate_uid", *keys), "aggregate_uid").join(p.select(*keys, "name", "unit", *ids), keys)
+        scopes = ["__set", "name", "unit"]
+        texts = with_listed(within.select(*scopes).distinct(), within, scopes, ids)
+        texts = texts.withColumnsRenamed({"name": "__name", "unit": "__unit"})
+        same = (F.col("name").eqNullSafe(F.col("__name"))) & (F.col("unit").eqNullSafe(F.col("__unit")))
+        grouped = grouped.join(sets, "aggregate_uid").withColumnRenamed("__set", "__of")
+        grouped = grouped.join(texts, (F.col("__of") == F.col("__set")) & same).drop("__of", "__set", "__name", "__unit")
     name = F.col("name")
     value = F.when(name.isin(list(sum_names)), F.col("__sum")).when(name.isin(list(boolean_names)), F.col("__max")).otherwise(F.col("__mean"))
     return grouped.withColumn("value", value).withColumn("match_result", F.lit("aggregated")).withColumn(

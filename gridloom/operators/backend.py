@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -99,9 +99,11 @@ def converter_table(converter: DataFrame, parameters: DataFrame) -> DataFrame:
     )
 
 
-def generator_table(generator: DataFrame, parameters: DataFrame, step: timedelta = timedelta(hours=1), carbon_price: float = 0.0) -> DataFrame:
+def generator_table(
+    generator: DataFrame, parameters: DataFrame, step: timedelta = timedelta(hours=1), carbon_price: float = 0.0, by: Sequence[str] = ("uid",)
+) -> DataFrame:
     """Costs, ramps and efficiency of generators; fleets dispatch continuously, so no minimum output."""
-    t = with_values(generator, parameters, _specs("generator"))
+    t = with_values(generator, parameters, _specs("generator"), by)
     eff = _positive("generator_efficiency")
     burn = F.try_divide(F.col("generator_fuel") + carbon_price * F.col("generator_co2_intensity"), eff)
     return t.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,11 +104,12 @@ def converted(parameters: DataFrame, spec: ParameterSpec) -> DataFrame:
     )
 
 
-def with_values(assets: DataFrame, parameters: DataFrame, specs: Mapping[str, ParameterSpec]) -> DataFrame:
+def with_values(assets: DataFrame, parameters: DataFrame, specs: Mapping[str, ParameterSpec], by: Sequence[str] = ("uid",)) -> DataFrame:
     """One column per spec key: own field if finite, else the parameter, else the fallback.
 
     All keys of a component share one pass over its parameters: an aggregate per uid with one
-    conditional pick per key, then a single join.
+    conditional pick per key, then a single join. Assets with the same parameters name them by common columns (`by`),
+    so that rows of parameters are not repeated per asset.
     """
     order = F.col("selected_parameter_uid") if "selected_parameter_uid" in parameters.columns else F.lit("")
     rank = F.struct(F.coalesce(order, F.lit("")).alias("o"), F.col("value").alias("v"))
@@ -117,8 +118,8 @@ def with_values(assets: DataFrame, parameters: DataFrame, specs: Mapping[str, Pa
         v = F.when(F.col("name") == s.name, F.col("value").try_cast("double") * S.lookup({u: float(f) for u, f in s.units.items()}, "unit"))
         picks.append(F.min_by(v, F.when(v.isNotNull(), rank)).alias("__" + key))
     names = sorted({s.name for s in specs.values()})
-    wide = parameters.where(F.col("name").isin(names)).groupBy("uid").agg(*picks)
-    out = assets.join(wide, "uid", "left")
+    wide = parameters.where(F.col("name").isin(names)).groupBy(*by).agg(*picks)
+    out = assets.join(wide, [*by], "left")
     columns = []
     for key, s in specs.items():
         own = S.number(s.column) if s.column and s.column in assets.columns else F.lit(None).cast("double")
@@ -126,26 +127,28 @@ def with_values(assets: DataFrame, parameters: DataFrame, specs: Mapping[str, Pa
     return out.select(*[F.col(c) for c in assets.columns], *columns)
 
 
-def coverage_report(assets: Mapping[str, DataFrame], parameters: Mapping[str, DataFrame], specs: Iterable[ParameterSpec] = CONTRACT) -> DataFrame:
-    """One row per key: targets, resolved, unit mismatches, conflicts and a status."""
+def coverage_report(
+    assets: Mapping[str, DataFrame], parameters: Mapping[str, DataFrame], specs: Iterable[ParameterSpec] = CONTRACT, by: Sequence[str] = ("uid",)
+) -> DataFrame:
+    """One row per key: targets, resolved, unit mismatches, conflicts and a status. `by` as in `with_values`."""
     out = None
     for s in contract(specs).values():
-        row = _coverage(assets[s.component], parameters[s.component], s)
+        row = _coverage(assets[s.component], parameters[s.component], s, by)
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def _coverage(assets: DataFrame, parameters: DataFrame, s: ParameterSpec) -> DataFrame:
+def _coverage(assets: DataFrame, parameters: DataFrame, s: ParameterSpec, by: Sequence[str]) -> DataFrame:
     targets = select_assets(assets, dict(s.selector))
     own = S.number(s.column).isNotNull() if s.column and s.column in assets.columns else F.lit(False)
-    targets = targets.select("uid", own.alias("own"))
-    named = parameters.where((F.col("name") == s.name) & F.col("value").isNotNull()).select("uid", "value", "unit")
+    targets = targets.select(*by, own.alias("own"))
+    named = parameters.where((F.col("name") == s.name) & F.col("value").isNotNull()).select(*by, "value", "unit")
     factor = S.lookup({u: float(f) for u, f in s.units.items()}, "unit")
-    per_uid = named.withColumn("v", F.col("value").try_cast("double") * factor).groupBy("uid").agg(
+    per_uid = named.withColumn("v", F.col("value").try_cast("double") * factor).groupBy(*by).agg(
         F.count("v").alias("usable"), F.count_if(factor.isNull()).alias("mismatch"),
         (F.min("v") < F.max("v")).alias("conflict"),
     )
-    joined = targets.join(per_uid, "uid", "left")
+    joined = targets.join(per_uid, [*by], "left")
     conflict = F.coalesce("conflict", F.lit(False))
     good = (F.col("own") | (F.coalesce("usable", F.lit(0)) > 0)) & ~conflict
     return joined.agg(

@@ -97,3 +97,24 @@ def test_rings_are_clipped_once_per_square(spark):
     parts = cells.ring_cells(units.select("admin_uid", "level", "sign", G.box_ring("x0", "y0", "x1", "y1").alias("ring")), 3.0, (0.0, 0.0))
     assert parts._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 4
     assert sorted((r.source_cell_uid, r.part_area) for r in parts.collect()) == [("square:3:0:0", 3.75), ("square:3:1:0", 1.5)]
+
+
+def test_parameters_by_profile(spark):
+    """Assets that share a profile get the values of its parameters, without a row per asset and parameter."""
+    from gridloom.operators import aggregate, manifest
+
+    p = spark.createDataFrame([("c", 1, "efficiency", 0.4, "p.u.", "p1"), ("c", 1, "efficiency", 0.5, "p.u.", "p2"), ("c", 2, "vom", 3.0, "EUR/MWh", "p3")],
+                              "class string, k long, name string, value double, unit string, selected_parameter_uid string")
+    a = spark.createDataFrame([("g1", "c", 1, 10.0), ("g2", "c", 1, None), ("g3", "c", 2, 30.0), ("g4", "d", 1, 1.0)], "uid string, class string, k long, capacity_mw double")
+    specs = {k: s for k, s in manifest.contract().items() if k in ("generator_efficiency", "generator_vom")}
+    got = {r.uid: (r.generator_efficiency, r.generator_vom) for r in manifest.with_values(a, p, specs, ("class", "k")).collect()}
+    assert got == {"g1": (0.4, 0.0), "g2": (0.4, 0.0), "g3": (1.0, 3.0), "g4": (1.0, 0.0)}
+    row = manifest.coverage_report({"generator": a}, {"generator": p}, [s for s in specs.values() if s.name == "vom"], ("class", "k")).first()
+    assert row.detail.startswith("1/4 resolved")
+    members = a.selectExpr("uid AS source_uid", "'A' AS aggregate_uid", "capacity_mw AS source_capacity_mw", "class", "k")
+    by_profile = aggregate.aggregate_parameters(p, members, sum_names=["vom"], by=("class", "k"))
+    rows = a.select("uid", "class", "k").join(p, ["class", "k"]).drop("class", "k")
+    by_uid = aggregate.aggregate_parameters(rows, members.drop("class", "k"), sum_names=["vom"])
+    columns = ["uid", "name", "unit", "value", "records", "selected_parameter_uid"]
+    want = [("A", "efficiency", "p.u.", pytest.approx(0.45), 4, "p1;p2"), ("A", "vom", "EUR/MWh", 3.0, 1, "p3")]
+    assert sorted(tuple(r) for r in by_profile.select(columns).collect()) == want == sorted(tuple(r) for r in by_uid.select(columns).collect())
