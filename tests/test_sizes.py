@@ -118,3 +118,23 @@ def test_parameters_by_profile(spark):
     columns = ["uid", "name", "unit", "value", "records", "selected_parameter_uid"]
     want = [("A", "efficiency", "p.u.", pytest.approx(0.45), 4, "p1;p2"), ("A", "vom", "EUR/MWh", 3.0, 1, "p3")]
     assert sorted(tuple(r) for r in by_profile.select(columns).collect()) == want == sorted(tuple(r) for r in by_uid.select(columns).collect())
+
+
+def test_overlap_areas_of_many_pairs(spark):
+    """The block form gives what the slab form gives, for concave rings too."""
+    import numpy as np
+
+    from gridloom.functions import geometry as G
+
+    rng = np.random.default_rng(3)
+
+    def star(n):
+        angle = ((np.arange(n) + rng.uniform(0, 0.8, (200, n))) * 2 * np.pi / n)[:, :: rng.choice((1, -1))]
+        radius, centre = rng.uniform(1, 3, (200, n)), rng.uniform(0, 4, (200, 2, 1))
+        return centre[:, 0] + radius * np.cos(angle), centre[:, 1] + radius * np.sin(angle)
+
+    for n, m in ((3, 3), (4, 7), (9, 5)):
+        (lx, ly), (rx, ry) = star(n), star(m)
+        got, _ = G._overlaps(lx, ly, rx, ry)
+        want = [G._overlap(np.column_stack(a), np.column_stack(b)) for a, b in zip(zip(lx, ly), zip(rx, ry))]
+        assert np.allclose(got, want, atol=1e-9)
