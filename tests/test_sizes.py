@@ -138,3 +138,12 @@ def test_overlap_areas_of_many_pairs(spark):
         got, _ = G._overlaps(lx, ly, rx, ry)
         want = [G._overlap(np.column_stack(a), np.column_stack(b)) for a, b in zip(zip(lx, ly), zip(rx, ry))]
         assert np.allclose(got, want, atol=1e-9)
+
+
+def test_first_nearest_of_stacked_points(spark):
+    from gridloom.operators import nearest
+
+    left = spark.range(10).selectExpr("id AS lid", "double(id) AS x", "0.0D AS y")
+    right = spark.range(400).selectExpr("concat('r:', lpad(id, 3, '0')) AS rid", "double(id % 2) * 9 AS x", "0.0D AS y")
+    got = {r.lid: (r.rid, r.distance) for r in nearest.first_nearest(left, right).collect()}
+    assert got == {k: ("r:000", float(k)) if k < 5 else ("r:001", 9.0 - k) for k in range(10)}
