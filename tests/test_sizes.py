@@ -147,3 +147,16 @@ def test_first_nearest_of_stacked_points(spark):
     right = spark.range(400).selectExpr("concat('r:', lpad(id, 3, '0')) AS rid", "double(id % 2) * 9 AS x", "0.0D AS y")
     got = {r.lid: (r.rid, r.distance) for r in nearest.first_nearest(left, right).collect()}
     assert got == {k: ("r:000", float(k)) if k < 5 else ("r:001", 9.0 - k) for k in range(10)}
+
+
+def test_stations_of_a_place_are_searched_once(spark):
+    from gridloom.functions import geometry as G
+    from gridloom.operators import mapping
+
+    points = spark.range(60).selectExpr("id AS uid", "double(id % 3) AS x", "0.0D AS y")
+    stations = spark.range(40).select(F.concat(F.lit("s:"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("station_uid"), F.array(G.point((F.col("id") % 2) * 10.0, F.lit(0.0))).alias("ring"), F.lit(1).alias("sign"))
+    near = mapping.nearest_of_places(points, stations, 4.0, 2.0)
+    assert sorted(tuple(r) for r in near.collect()) == [(0.0, 0.0, "s:00", 0.0), (1.0, 0.0, "s:00", 1.0), (2.0, 0.0, "s:00", 2.0)]
+    every = mapping.nearest_of_places(points, stations, 4.0, 1.0, True).groupBy("x").count().collect()
+    assert {r.x: r["count"] for r in every} == {0.0: 20, 1.0: 20}
+    assert mapping.terminal_matches(points, stations, 4.0, 1.0).count() == 2 * 20 * 20
