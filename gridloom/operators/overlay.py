@@ -5,8 +5,8 @@ cut at the x of all vertices and crossings into vertical slabs; inside a slab, e
 top, and the area between two neighbours is covered by the same units throughout. That gives exact trapezoids,
 which are joined again where the same two edges bound the same owner.
 
-Units with the same shape inside a tile are told apart by their rank before a tile is gathered, so stacked
-copies never fill a task.
+Units with the same shape are told apart by their rank before they are clipped, and again inside a tile before
+it is gathered, so stacked copies never fill a task.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut_lineage
-from .skew import require_none
+from .skew import dealt, require_none
 from .tiling import tile_of
 
 #: Vertices of a tile beyond which it is cut in four, and how often that is done.
@@ -32,7 +32,7 @@ RING = "array<struct<x:double,y:double>>"
 
 def clipped_parts(units: DataFrame, tile: float) -> DataFrame:
     """Units (layer, rank, uid, ring, sign) to ring parts per tile. `step` counts how often a tile was cut."""
-    boxed = units.select("layer", "rank", "uid", "sign", "ring", *G.bbox("ring"))
+    boxed = dealt(units.select("layer", "rank", "uid", "sign", "ring", *G.bbox("ring")), "uid")
     ix = F.explode(F.sequence(tile_of("x0", tile), tile_of("x1", tile)))
     iy = F.explode(F.sequence(tile_of("y0", tile), tile_of("y1", tile)))
     parts = _clipped(boxed.withColumn("ix", ix).withColumn("iy", iy).withColumn("step", F.lit(0)).drop("x0", "y0", "x1", "y1"), tile)
@@ -54,7 +54,7 @@ def clipped_parts(units: DataFrame, tile: float) -> DataFrame:
 def _clipped(rows: DataFrame, tile: float) -> DataFrame:
     size = F.lit(float(tile)) / F.pow(F.lit(2.0), F.col("step"))
     x0, y0 = F.col("ix") * size, F.col("iy") * size
-    out = rows.withColumn("ring", G.clip_ring("ring", x0, y0, x0 + size, y0 + size))
+    out = rows.withColumn("ring", G.once(G.clip_ring("ring", x0, y0, x0 + size, y0 + size)))
     return out.where((F.size("ring") >= 3) & (G.ring_area("ring") > 0)).select(*TILE, "rank", "uid", "ring", "sign")
 
 
@@ -153,7 +153,7 @@ def owned_parts(units: DataFrame, tile: float) -> DataFrame:
     units: layer, rank (int), uid, ring, sign (holes -1). Layers don't meet each other. Parts are
     convex quadrilaterals or triangles that don't overlap; a unit without a part is covered by others.
     """
-    shapes = clipped_parts(units, tile).groupBy(*TILE, "rank", "uid").agg(F.array_sort(F.collect_list(F.struct("sign", "ring"))).alias("shape"))
+    shapes = clipped_parts(leading_units(units), tile).groupBy(*TILE, "rank", "uid").agg(F.array_sort(F.collect_list(F.struct("sign", "ring"))).alias("shape"))
     first = F.struct("rank", "uid")
     alike = shapes.groupBy(*TILE, F.md5(F.to_json("shape")).alias("same")).agg(F.min(first).alias("one"), F.min_by("shape", first).alias("shape"))
     tiles = alike.select(*TILE, "one.rank", "one.uid", "shape")
@@ -161,6 +161,13 @@ def owned_parts(units: DataFrame, tile: float) -> DataFrame:
     return out.withColumn("area", G.ring_area("ring")).where("area > 0")
 
 
+def leading_units(units: DataFrame) -> DataFrame:
+    """Units (layer, rank, uid, ring, sign) without copies: of equal shapes only the first can own anything."""
+    prints = units.groupBy("layer", "rank", "uid").agg(F.array_sort(F.collect_list(F.md5(F.to_json(F.struct("sign", "ring"))))).alias("prints"))
+    first = prints.groupBy("layer", F.md5(F.array_join("prints", "")).alias("shape")).agg(F.min(F.struct("rank", "uid")).alias("one"))
+    return units.join(first.select("layer", "one.rank", "one.uid"), ["layer", "rank", "uid"], "left_semi")
+
+
 def kept_areas(units: DataFrame, parts: DataFrame) -> DataFrame:
     """(layer, uid, own_area, kept_area, removed_area) of every unit."""
     own = units.groupBy("layer", "uid").agg(F.sum(G.ring_area("ring") * F.col("sign")).alias("own_area"))

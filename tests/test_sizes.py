@@ -172,3 +172,13 @@ def test_level_priority_of_holes_and_stacks(spark):
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(r.ix, r.iy): r.admin_uid for r in out.collect()}
     assert got == {(x, y): ("c" if (x, y) != (2, 2) else "a") if x in (1, 2) and y in (1, 2) else "b" for x in range(4) for y in range(4)}
+
+
+def test_copies_of_a_shape_leave_before_they_are_clipped(spark):
+    from gridloom.functions import geometry as G
+    from gridloom.operators import overlay
+
+    boxes = spark.range(500).selectExpr("concat('u:', lpad(id, 3, '0')) AS uid", "int(id % 2) AS rank", "double(id % 5) AS x")
+    units = boxes.select(F.lit("all").alias("layer"), "rank", "uid", F.lit(1).alias("sign"), G.box_ring("x", F.lit(0.0), F.col("x") + 2, F.lit(1.0)).alias("ring"))
+    assert sorted(r.uid for r in overlay.leading_units(units).collect()) == ["u:000", "u:002", "u:004", "u:006", "u:008"]
+    assert sum(r.area for r in overlay.owned_parts(units, 6.0).collect()) == pytest.approx(6.0)
