@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .skew import dealt
 
 EQUAL = ("applies_to_uid", "class", "subclass", "status")
 TARGET = {"applies_to_uid": "t_uid", "class": "t_class", "subclass": "t_subclass", "status": "t_status"}
@@ -118,7 +119,8 @@ def fitting_pairs(targets: DataFrame, scopes: DataFrame) -> DataFrame:
     offered = cut_lineage(offered.select("tier", "__key", F.col("__level").alias("__also"), F.coalesce("__node", F.lit(-1).cast("long")).alias("__node")))
     depth = F.when(F.col("__node") < 0, -1).otherwise(F.floor(F.col("__node") / ROOM)).cast("int")
     keys = cut_lineage(offered.groupBy("__key").agg(F.collect_set(depth).alias("__depths")))
-    asked = targets.withColumn("__pattern", F.explode("patterns")).drop("patterns")
+    # A few small targets make most of the work below, so they are dealt to all tasks.
+    asked = dealt(targets).withColumn("__pattern", F.explode("patterns")).drop("patterns")
     for k, c in enumerate(EQUAL):
         asked = asked.where(~_bit(k) | F.col(TARGET[c]).isNotNull())
     asked = asked.where(~_bit(CAPACITY) | F.col("t_capacity").isNotNull())
