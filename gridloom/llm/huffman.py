@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import partitions, shared_folder, written
 from .files import RangeReader, write_file
-from .tokens import encoder
+from .tokens import encoder, slices
 
 MAGIC, VERSION = b"HUFIDS", 1
 HEADER = struct.Struct("<6sHqqqqq")
@@ -147,9 +147,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
         coder, kind = encoder(path), _kind(path)
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = coder.encode([t or "" for t in part.column(1).to_pylist()])
+            for part in slices(batch, 1):
+                found = coder.encode(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.astype(kind).tobytes() + end for i in found], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")

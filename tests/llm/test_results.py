@@ -40,6 +40,17 @@ def test_encoder_equals_the_library(texts, name):
             assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_cuts_at_line_breaks():
+    """Words on both sides of a line break are pieces of their own, each encoded once."""
+    some = ["the end.\nThe start\nof it", "an end.\nThe end, the\nend.", "one\n\ntwo end.\nThe", "\nThe end\n", "end.\r\nThe end"]
+    coder = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    for text, ids in zip(some, coder.encode(some)):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    coder = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    coder.encode(some[:2])
+    assert not any("\n" in piece.strip("\n") for piece in coder.cache)
+
+
 def test_packing(docs, texts):
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.packed_documents(docs, path, 1, 512).collect()
