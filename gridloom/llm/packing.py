@@ -26,13 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .tokens import encoder
+from .tokens import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 #: Ranks of one length that meet in one join key.
 BLOCK = 1024
-#: Texts of one Arrow batch that are encoded together.
-SLICE = 256
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,10 +40,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, size: int, key: str =
         coder, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(texts)):
+            for part in slices(batch, 1):
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1))):
                     data = memoryview(ids.tobytes() + np.uint32(end_id).tobytes())
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, size)):

@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gridloom.llm import decontaminate, huffman, neardup, packing, pii, quality, secrets, sharding, substrings, warc
+from gridloom.llm import decontaminate, huffman, neardup, packing, pii, quality, secrets, sharding, substrings, tokens, warc
 from gridloom.llm.files import RangeReader, write_file
 from gridloom.llm.tokens import Encoder, tokenizer_path
 
@@ -51,6 +52,29 @@ def test_encoder_cuts_at_line_breaks():
     assert not any("\n" in piece.strip("\n") for piece in coder.cache)
 
 
+def test_encoder_letters_and_case():
+    """Marks stay with letters that end in no letter once composed and lower-cased; words that differ in case are one piece."""
+    path = tokenizer_path("word_bpe_49k.json")
+    letters = [chr(i) for i in range(0xAA, 0x3000) if chr(i).isalpha()]
+    some = ["\u0130, a", "\u0958, b", "a\u0130. \u0130", "the\n\nThe  THE", *["".join(f"{c}{m} a{c}{m}\n" for c in letters[at : at + 50]) for at in range(0, len(letters), 50) for m in (",", "!!!!!")]]
+    coder = Encoder(path)
+    for text, ids in zip(some, coder.encode(some)):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    coder = Encoder(path)
+    coder.encode(["the The, THE.\nThe"])
+    assert set(coder.cache) == {"the"}
+
+
+def test_slices_hold_every_row(monkeypatch):
+    monkeypatch.setattr(tokens, "BYTES", 10)
+    monkeypatch.setattr(tokens, "ROWS", 3)
+    some = [None, "", "x" * 50, "ab", "cd", "ef", "gh", "ijklmnop", None, "", "", "", "z" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["text"])
+    parts = [part.column(0).to_pylist() for part in tokens.slices(batch, 0)]
+    assert sum(parts, []) == some and max(map(len, parts)) == 3
+    assert all(sum(len(t or "") for t in part) <= 10 or len(part) == 1 for part in parts)
+
+
 def test_packing(docs, texts):
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.packed_documents(docs, path, 1, 512).collect()
