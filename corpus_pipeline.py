@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, neardup, packing, quality, secrets
 from gridloom.llm.common import TEXT_COLUMNS, shared_folder, table, written
+from gridloom.session import in_few_files
 from gridloom.llm.tokens import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the adaptive thresholds reject go."""
-    return quality.quality_verdicts(docs, keep=TEXT_COLUMNS).where("kept").select(*TEXT_COLUMNS)
+    return in_few_files(quality.quality_verdicts(docs, keep=TEXT_COLUMNS).where("kept").select(*TEXT_COLUMNS))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +31,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(rows, width=5, percent=80, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
     kept = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row")
-    return rows.join(kept, "__row", "left_semi").select(*TEXT_COLUMNS)
+    return in_few_files(rows.join(kept, "__row", "left_semi").select(*TEXT_COLUMNS))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*TEXT_COLUMNS)
+    return in_few_files(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*TEXT_COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

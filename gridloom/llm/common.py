@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, in_few_files, in_fewest_files
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,6 +33,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_few(df: DataFrame, label: str) -> DataFrame:
+    """`written`, in few files however many shuffle partitions there are."""
+    return written(in_few_files(df), label)
+
+
+def written_fewest(df: DataFrame, label: str) -> DataFrame:
+    """`written_few` for rows of a few numbers."""
+    return written(in_fewest_files(df), label)
+
+
 def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 

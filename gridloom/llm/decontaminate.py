@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fenced, written
+from .common import fenced, written, written_fewest
 
 #: Masks of weight 6. By simulation they hit 20 tokens with a probability of 0.998 if one token in ten is
 #: substituted, and of 0.96 if it is one in five.
@@ -89,7 +89,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_key: str = "do
     """(doc_id, item_id, matched, compared): pairs with a verified overlap, with the best window's counts."""
     wanted = written(seeds(benchmark, item_key, text, "item_id").withColumnRenamed("place", "item_place"), "seeds")
     found = seeds(docs, doc_key, text, "doc_id").join(bounded(wanted, BROADCAST_SEEDS), "seed")
-    lines = written(
+    lines = written_fewest(
         found.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("hits")), "hits"
     )
     items = benchmark.select(F.col(item_key).alias("item_id"), tokens_of(F.col(text)).alias("it"))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import SPACE_RUN, written
+from .common import SPACE_RUN, written, written_few, written_fewest
 
 BANDS, ROWS = 48, 6
 BATCH = 24
@@ -193,7 +193,7 @@ def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width: int
     """Distinct candidate pairs to exact links."""
     one = signatures.select("id", "signature")
     with_both = pairs.join(one.toDF("a", "sa"), "a").join(one.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    alive = written(with_both.mapInArrow(_pruned(percent / 100, miss), "a long, b long"), "survivors")
+    alive = written_few(with_both.mapInArrow(_pruned(percent / 100, miss), "a long, b long"), "survivors")
     whole = alive.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return whole.mapInArrow(_verified(width, percent), "a long, b long")
 
@@ -249,12 +249,12 @@ def _second_pairs(rest: DataFrame, texts: DataFrame, width: int, percent: int) -
     gain, step = 2 * (100 + percent), 100 + percent
     both = rest.join(texts.toDF("id", "ti"), "id").join(texts.toDF("ref", "tr"), "ref").select("ref", "id", "component", "ti", "tr")
     schema = "ref long, id long, component long, n long, d long, excess long, least long, differences array<long>"
-    told = written(both.mapInArrow(_differing(width, percent), schema), "differences")
+    told = written_few(both.mapInArrow(_differing(width, percent), schema), "differences")
     star = told.where("excess + least <= 0").select(F.least("ref", "id").alias("a"), F.greatest("ref", "id").alias("b"))
     rows = told.select("ref", "id", F.explode("differences").alias("h"))
     counts = rows.groupBy("ref", "h").agg(F.count("*").alias("c"))
     ordered = rows.join(counts, ["ref", "h"]).groupBy("ref", "id").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
-    listed = written(told.drop("differences").join(ordered, ["ref", "id"]), "ordered")
+    listed = written_few(told.drop("differences").join(ordered, ["ref", "id"]), "ordered")
 
     def needed(value: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(value))
@@ -281,11 +281,11 @@ def near_duplicate_links(signatures: DataFrame, body: DataFrame, width: int = 5,
     """Links (a, b) that give the components of the classes (id, signature); body has (id, folded text)."""
     bands = signatures.select("id", F.explode(band_keys(F.col("signature"))).alias("band"))
     centres = bands.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    crowded = written(bands.join(centres, "band").select("band", "id", "centre", "members"), "bands")
+    crowded = written_fewest(bands.join(centres, "band").select("band", "id", "centre", "members"), "bands")
     # Only texts of classes with a candidate are kept for the verification.
-    texts = written(body.join(crowded.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = written_few(body.join(crowded.select("id").distinct(), "id", "left_semi"), "texts")
     first = crowded.where("id != centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-    links = written(_links(first, signatures, texts, width, percent, miss), "links")
+    links = written_few(_links(first, signatures, texts, width, percent, miss), "links")
     # Second pass: pairs of different components in a band, but for those with the centre, which are done.
     of = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -297,13 +297,13 @@ def near_duplicate_links(signatures: DataFrame, body: DataFrame, width: int = 5,
     mixed = rest.groupBy("band").agg(
         F.min(other).alias("lo"), F.max(other).alias("hi"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("ref")
     ).where("lo < hi").select("band", "ref")
-    rest = written(rest.where("not done").join(mixed, "band").select("ref", "id", "component").distinct(), "mixed")
+    rest = written_fewest(rest.where("not done").join(mixed, "band").select("ref", "id", "component").distinct(), "mixed")
     shared = _shared_counts(rest.select("id").distinct(), signatures.select("id", "n_shingles"), texts, width)
     # A class too many of whose shingles are its own can't reach the threshold with any other.
     able = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("id")
     second = _second_pairs(rest.where("id != ref").join(able, "id", "left_semi"), texts, width, percent).join(first, ["a", "b"], "left_anti")
     more = _links(second, signatures, texts, width, percent, miss)
-    return written(links.union(more), "links")
+    return written_few(links.union(more), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,9 +314,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     )
     spokes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     # Equal word sequences are one class; its smallest id speaks for it.
-    of = written(signed.select("doc_id", "n_shingles", "digest").join(spokes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "classes")
+    of = written_fewest(signed.select("doc_id", "n_shingles", "digest").join(spokes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "classes")
     speaks = of.where("doc_id = id and n_shingles > 0").select("doc_id").distinct()
-    signatures = written(
+    signatures = written_few(
         signed.where("digest is not null").join(speaks, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "signature").dropDuplicates(["id"]), "signatures"
     )
     links = near_duplicate_links(signatures, body.where("text != ''").withColumnRenamed("doc_id", "id"), width, percent, miss)

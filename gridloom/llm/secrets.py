@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import written_fewest
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -222,7 +222,7 @@ def word_ranks(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> d
         yield handed_on()
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = written(counted.withColumn("class", F.floor(F.log2("n") * 64)), "words")
+    counted = written_fewest(counted.withColumn("class", F.floor(F.log2("n") * 64)), "words")
     least, held = math.inf, 0
     for r in sorted(counted.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
         held += r["words"]

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator and stage."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ import corpus_pipeline as P
 from gridloom.llm import decontaminate, huffman, neardup, packing, pii, quality, secrets, sharding, substrings, warc
 from gridloom.llm.common import TEXT_COLUMNS
 from gridloom.llm.tokens import tokenizer_path
+from gridloom.session import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, words string, label long, bucket string"
 LONG = "alpha beta gamma delta " * 6000 + "x" * 60000
@@ -105,3 +108,24 @@ def test_dedup_stage_keeps_clean_rows(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted(((r.doc_id or 0, (r.text or "")[:3]) for r in P.dedup_stage(spark, docs, str(tmp_path)).collect()))
     assert got == [(0, "d0 "), (1, "a0 "), (1, "b0 "), (2, "e0 "), (7, "c0 "), (8, ""), (9, "sho")]
+
+
+def test_many_partitions_make_few_files(spark, tmp_path):
+    """Each file costs an executor a process: a small table that isn't coalesced by Spark is not one file a partition."""
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(60)) + " more" * (i % 3), "en", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    ensure_checkpoint_dir(spark)
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    old = set(top.iterdir())
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        P.dedup_stage(spark, docs, "").write.parquet(f"{tmp_path}/kept")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == list(range(0, 300, 3))
+    files = [len(list(d.glob("part-*"))) for d in [*set(top.iterdir()) - old, tmp_path / "kept"]]
+    assert len(files) > 10 and max(files) <= 32
