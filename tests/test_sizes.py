@@ -204,3 +204,34 @@ def test_conflicts_deal_their_rows(spark):
     assert got == [("n", 3, 2, 2, 1.0, 2.0)]
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("RepartitionByExpression")
+
+
+#: So many suppliers that about half of the terminals have a station; lines of several levels meet there and at junctions.
+SOME_STATIONS = "SELECT CAST(s_suppkey + 10 * i AS BIGINT) AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier, range(0, 20) r(i)"
+
+
+def test_grid_summary_of_several_levels(spark, folder):
+    got = dict(assert_same(spark, "grid_summary", folder(supplier=SOME_STATIONS)))
+    assert got["multi_voltage_station_nodes"] > 0 and got["isolated_node_subgraphs"] + got["isolated_branches"] + got["multi_branch_subgraphs"] == got["connected_subgraphs"] > 1
+    assert got["shared_station_single_match_terminals"] + got["one_to_one_terminal_station_matches"] == got["single_station_terminals"] > 0
+    assert got["direct_branches"] == got["station_station_branches"] > 0
+
+
+def test_levels_of_a_small_grid(spark):
+    """Two lines of different level between the same places: one pair of stations, but two pairs of junctions."""
+    from gridloom.operators import network
+
+    rows = [("a", 110, 0.0, 9.0), ("b", 220, 0.0, 9.0), ("c", 110, 9.0, 20.0), ("d", 220, 9.0, 20.0), ("e", None, 9.0, 20.0), ("f", 500, 30.0, 30.0)]
+    ends = [(u, p, kv, 1.0, x, 0.0) for u, kv, start, end in rows for p, x in (("start", start), ("end", end))]
+    terminals = spark.createDataFrame(ends, "segment_uid string, terminal_position string, voltage_kv int, length_m double, x double, y double")
+    near = spark.createDataFrame([(0.0, 0.0, "s0"), (9.0, 0.0, "s9"), (30.0, 0.0, "s30")], "x double, y double, station_uid string")
+    matches = near.union(spark.createDataFrame([(0.0, 0.0, "s9")], near.schema))
+    nodes, edges = network.station_graph(terminals, near, ("x", "y"))
+    got = {r.metric: r.value for d in (network.grid_summary(matches, nodes, edges, terminals), network.subgraph_summary(nodes, edges)) for r in d.collect()}
+    assert got == {
+        "matched_terminals": 9, "single_station_terminals": 7, "multiple_station_terminals": 2, "shared_station_single_match_terminals": 7, "one_to_one_terminal_station_matches": 0,
+        "matched_stations": 3, "nodes": 6, "station_nodes": 3, "junction_nodes": 3, "multi_voltage_station_nodes": 2,
+        "branches": 5, "station_station_branches": 2, "station_junction_branches": 3, "junction_junction_branches": 0,
+        "connected_subgraphs": 2, "isolated_node_subgraphs": 1, "isolated_branches": 0, "multi_branch_subgraphs": 1,
+        "largest_subgraph_nodes": 5, "largest_subgraph_branches": 5, "largest_subgraph_station_nodes": 2,
+    }
